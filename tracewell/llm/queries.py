@@ -5,22 +5,81 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewell.llm import ngram_join
+from tracewell.llm import bm25, interpolation, line_crf, line_dedup, ngram_join, packing, pieces, quality_rules, substring_dedup, warc
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; Arrow batches are kept small, as rows hold whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file is; every executor has these files."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, rows: int = 1024) -> DataFrame:
+    """A given table; Arrow batches have few rows, as these hold whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer("piece_bpe_32k.model")
+    out = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), path), path)
+    return out.select("doc_id", "n_ids", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"), F.expr("decoded = coalesce(text, '')").alias("round_trip"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_rules.judge(docs, quality_rules.fit(docs, labels)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), carry=False)
+    return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the rows of benchmark whose item_id is divisible by 20; all documents are searched."""
+    queries = table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
+    found = bm25.search(bm25.build(table(spark, sf_dir, "documents")), queries, k=10)
+    return found.withColumn("score", F.round("score", 6))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score(table(spark, sf_dir, "documents", rows=16))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, archives = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(folder, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.remove_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("row.doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = line_crf.score(docs, line_crf.fit(docs, table(spark, sf_dir, "labels")), carry=False)
+    held = F.coalesce(F.expr("crc32(cast(row.doc_id as string)) % 5 = 0"), F.lit(False))
+    return out.select("row.doc_id", held.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    f.__name__: f for f in (op1_packing, op2_ngram_jaccard_join, op3_sentencepiece, op4_quality_rules, op5_substring_dedup, op6_bm25_search, op7_lm_scoring, op8_warc, op9_line_dedup, op10_quality_classifier)
 }
 
+_WORDS = "[^\\x20\\x09-\\x0D]+"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES: dict[str, str] = {}
