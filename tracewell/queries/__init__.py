@@ -1,4 +1,6 @@
 """The registered queries: one per operator, on the given tables."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tracewell.queries import documents_q  # noqa: F401
+from tracewell.queries.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
