@@ -83,7 +83,7 @@ VIEWS: dict[str, str] = {
         SELECT event_id AS seq, concat('p/', cast(user_id AS string)) AS path, cast(floor(value) AS bigint) AS version, CASE event_id % 4 WHEN 0 THEN 'watcher' WHEN 1 THEN 'editor' WHEN 2 THEN 'agent' ELSE 'other' END AS source, event_type AS kind, ts
         FROM events""",
     "v_publish": """
-        SELECT event_id AS seq, concat('g', cast(event_id AS string)) AS generation, CASE WHEN event_id = 0 THEN '' WHEN event_id % 7 = 0 THEN '*' WHEN event_id % 3 = 0 THEN concat('g', cast(event_id - 3 AS string)) ELSE concat('g', cast(event_id - 1 AS string)) END AS expected
+        SELECT event_id % 20 AS key, event_id AS seq, concat('g', cast(event_id AS string)) AS generation, CASE WHEN event_id < 20 THEN '' WHEN event_id % 7 = 0 THEN '*' WHEN event_id % 3 = 0 THEN concat('g', cast(event_id - 60 AS string)) ELSE concat('g', cast(event_id - 20 AS string)) END AS expected
         FROM events""",
     "v_turn": """
         SELECT conv_id AS flow, turn AS ordinal, role AS kind, text FROM conversations""",
