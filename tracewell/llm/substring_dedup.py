@@ -6,6 +6,7 @@ string of words, to the partition of that minimiser; equal windows have equal
 minimisers, so each partition can sort its windows and count them exactly.
 Hashes only bring equal windows next to each other; their words are compared.
 
+What goes from one chunk of rows to one bucket is a single compressed block.
 A window that a task has already met (earlier) is settled there and doesn't
 travel, so a passage that very many documents share reaches its partition
 once for each task and not once for each document.
@@ -17,22 +18,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.llm import words as W
-from tracewell.llm.store import save
 
 WIDTH, GRAM = 20, 3
-#: Bytes of text that a partition of windows should hold.
-PARTITION_BYTES = 24 << 20
-#: Up to so many runs of windows (about 24 bytes each) are broadcast; more are joined by a shuffle.
-MAX_BROADCAST_RUNS = 1_000_000
+#: Bytes of text that a bucket of windows should hold.
+BUCKET_BYTES = 12 << 20
 #: Windows that a task remembers, to settle later copies at once; beyond that they travel.
 MAX_REMEMBERED = 100_000
 
-RUNS = "key long, k long, fp long, start long, n long, words binary"
+BLOCKS = "bucket int, rows int, numbers binary, words binary"
 REMOVED = "k long, fp long, start long, n long"
 
 
@@ -70,17 +69,28 @@ def equal_groups(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[many], ~same[:-1][many]
 
 
-def super_kmers(width: int, gram: int):
-    """mapInArrow from (k, fp, text) to RUNS: windows to compare (with words) and windows settled here (without)."""
+def pack(bucket: int, numbers: np.ndarray, words: list[bytes] | None) -> tuple:
+    """A row of BLOCKS: columns k, fp, start, n of runs of windows, and their words."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    return bucket, numbers.shape[1], squeeze(np.ascontiguousarray(numbers).tobytes()), None if words is None else squeeze(b"\n".join(words))
+
+
+def expand(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def super_kmers(width: int, gram: int, buckets: int):
+    """mapInArrow from (k, fp, text) to BLOCKS: runs of windows to compare (with words) and runs settled here (without)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, tuple] = {}
         for batch in batches:
             ids, prints = (np.asarray(batch.column(i)) for i in (0, 1))
             for chunk in W.scan(batch.column(2), most=2 * W.CHUNK_BYTES):
-                yield one(chunk, ids, prints, seen)
+                rows = list(one(chunk, ids, prints, seen))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "rows", "numbers", "words"])
 
-    def one(chunk: W.Chunk, ids, prints, seen) -> pa.RecordBatch:
+    def one(chunk: W.Chunk, ids, prints, seen) -> Iterator[tuple]:
         hashed = W.span_hashes(chunk.data, chunk.starts, chunk.ends)
         text, starts, ends = canonical(chunk)
         good = W.grams_within(chunk.first, width)
@@ -93,10 +103,9 @@ def super_kmers(width: int, gram: int):
         raw = text.tobytes()
         gone = np.zeros(size, bool)
         valid = np.flatnonzero(good)
-        twice, _ = equal_groups(windows[valid])
-        for i in valid[twice].tolist():
+        twice = valid[equal_groups(windows[valid])[0]]
+        for i, me in zip(twice.tolist(), zip(k[twice].tolist(), fp[twice].tolist(), at[twice].tolist(), strict=True), strict=True):
             own = raw[starts[i] : ends[i + width - 1]]
-            me = (k[i], fp[i], at[i])
             other = seen.get(own)
             if other is not None and other < me:
                 gone[i] = True
@@ -105,56 +114,70 @@ def super_kmers(width: int, gram: int):
         new = np.ones(size, bool)
         new[1:] = row[1:] != row[:-1]
         a, n = runs_of(good & gone, new)
+        if len(a):
+            yield pack(int(fp[a[0]] % buckets), np.stack([k[a], fp[a], at[a], n]), None)
         new[1:] |= least[1:] != least[:-1]
         b, m = runs_of(good & ~gone, new)
-        cuts = zip(starts[b].tolist(), ends[b + m + width - 2].tolist(), strict=True)
-        first = np.concatenate([a, b])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([fp[a], W.signed(least[b])])), pa.array(k[first]), pa.array(fp[first]), pa.array(at[first]), pa.array(np.concatenate([n, m])), pa.array([None] * len(a) + [raw[i:j] for i, j in cuts], pa.binary())],
-            names=["key", "k", "fp", "start", "n", "words"],
-        )
+        bucket = (W.mix(least[b], 3) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        b, m, bucket = b[order], m[order], bucket[order]
+        cuts = list(zip(starts[b].tolist(), ends[b + m + width - 2].tolist(), strict=True))
+        edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(b) else []
+        for i, j in zip(edge, [*edge[1:], len(b)], strict=True):
+            s = slice(i, j)
+            yield pack(int(bucket[i]), np.stack([k[b[s]], fp[b[s]], at[b[s]], m[s]]), [raw[x:y] for x, y in cuts[i:j]])
 
     return run
 
 
 def repeated(width: int):
-    """mapInArrow over one partition of RUNS to REMOVED: the windows with an earlier equal."""
+    """mapInArrow over whole buckets of BLOCKS to REMOVED: the runs of windows with an earlier equal."""
+
+    def removed(numbers: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in numbers], names=["k", "fp", "start", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, hashes, left, right, base, texts = [], [], [], [], 0, []
+        blocks: dict[int, list] = {}
         for batch in batches:
-            here = np.asarray(batch.column(5).is_valid())
-            if not here.all():
-                yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(~here)) for i in (1, 2, 3, 4)], names=["k", "fp", "start", "n"])
-            if not here.any():
-                continue
-            batch = batch.filter(pa.array(here))
-            parts.append(np.stack([np.asarray(batch.column(i)) for i in (1, 2, 3, 4)]))
-            for chunk in W.scan(batch.column(5)):
+            for bucket, rows, numbers, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if words is None:
+                    yield removed(np.frombuffer(expand(numbers), np.int64).reshape(4, rows))
+                else:
+                    blocks.setdefault(bucket, []).append((rows, numbers, words))
+        for bucket in list(blocks):
+            yield one(blocks.pop(bucket))
+
+    def one(held: list) -> pa.RecordBatch:
+        k, fp, start, n = np.concatenate([np.frombuffer(expand(numbers), np.int64).reshape(4, rows) for rows, numbers, _ in held], axis=1)
+        hashes, left, right, texts, base = [], [], [], [], 0
+        for _, _, words in held:
+            text = expand(words)
+            data = np.frombuffer(text, np.uint8)
+            line = np.flatnonzero(data == 10)
+            edges = pa.array(np.concatenate([[0], line, [len(data)]]).astype(np.int32))
+            column = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, edges.buffers()[1], pa.py_buffer(text)])
+            for chunk in W.scan(column):
                 good = np.flatnonzero(W.grams_within(chunk.first, width))
                 hashes.append(W.gram_hashes(W.span_hashes(chunk.data, chunk.starts, chunk.ends), width)[good])
                 left.append(chunk.starts[good] + base)
                 right.append(chunk.ends[good + width - 1] + base)
                 base += len(chunk.data)
-                texts.append(chunk.data.tobytes())
-        if not parts:
-            return
-        k, fp, start, n = np.concatenate(parts, axis=1)
-        left, right, text = np.concatenate(left), np.concatenate(right), b"".join(texts)
+            texts.append(text)
+        hashes, left, right, text = np.concatenate(hashes), np.concatenate(left), np.concatenate(right), b"".join(texts)
         row = np.repeat(np.arange(len(n)), n)
         at = start[row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
-        twice, _ = equal_groups(hashes := np.concatenate(hashes))
+        twice, _ = equal_groups(hashes)
         twice = twice[np.lexsort((at[twice], fp[row[twice]], k[row[twice]], hashes[twice]))]
-        gone, first, group, value = np.zeros(len(row), bool), {}, None, hashes[twice].tolist()
-        for i, h in zip(twice.tolist(), value, strict=True):
+        gone, first, group = np.zeros(len(row), bool), {}, None
+        mine = zip(k[row[twice]].tolist(), fp[row[twice]].tolist(), at[twice].tolist(), strict=True)
+        for i, h, a, b, me in zip(twice.tolist(), hashes[twice].tolist(), left[twice].tolist(), right[twice].tolist(), mine, strict=True):
             if h != group:
                 group, first = h, {}
-            me = (k[row[i]], fp[row[i]], at[i])
-            gone[i] = first.setdefault(text[left[i] : right[i]], me) != me
+            gone[i] = first.setdefault(text[a:b], me) != me
         new = np.ones(len(row), bool)
         new[1:] = row[1:] != row[:-1]
         a, size = runs_of(gone, new)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k[row[a]], fp[row[a]], at[a], size)], names=["k", "fp", "start", "n"])
+        return removed(np.stack([k[row[a]], fp[row[a]], at[a], size]))
 
     return run
 
@@ -202,11 +225,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, carry:
     row = F.struct("*") if carry else F.struct("doc_id")
     docs = docs.select(row.alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("k"), F.col("text").cast("string").alias("text")).withColumn("fp", F.xxhash64("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 3 * size // PARTITION_BYTES)
-    runs = docs.select("k", "fp", "text").mapInArrow(super_kmers(width, gram), RUNS)
-    found = runs.repartition(parts, "key").mapInArrow(repeated(width), REMOVED)
-    found = save(found.groupBy("k", "fp").agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("runs")), "removed").select("k", "fp", F.col("runs.start").alias("starts"), F.col("runs.n").alias("sizes"))
-    total = found.agg(F.sum(F.size("starts"))).first()[0] or 0
-    found = F.broadcast(found) if total <= MAX_BROADCAST_RUNS else found
+    buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 3 * size // BUCKET_BYTES)
+    blocks = docs.select("k", "fp", "text").mapInArrow(super_kmers(width, gram, buckets), BLOCKS)
+    found = blocks.repartition(max(1, buckets // 4), "bucket").mapInArrow(repeated(width), REMOVED)
+    found = found.groupBy("k", "fp").agg(F.collect_set(F.struct("start", "n")).alias("runs")).select("k", "fp", F.col("runs.start").alias("starts"), F.col("runs.n").alias("sizes"))
     done = docs.join(found, ["k", "fp"], "left").select("text", "row", "starts", "sizes")
     return done.mapInArrow(cut(width), T.StructType([docs.schema["row"], *T.StructType.fromDDL("n_words long, n_removed long, kept string")]))
