@@ -107,7 +107,7 @@ class Tokens:
     def bigrams(self) -> np.ndarray:
         words = np.concatenate([[START], self.vocabulary])
         left, right = self.pairs >> np.uint64(32), self.pairs & np.uint64(2**32 - 1)
-        return W.mix(words[left.astype(np.int64)] * np.uint64(0xD6E8FEB86659FD93) + words[right.astype(np.int64)], 2)
+        return W.mix(words[left.astype(np.int64)] * np.uint64(0xD6E8FEB86659FD93) + self.vocabulary[right.astype(np.int64)], 2)
 
     def numbers(self, kind: int) -> np.ndarray:
         """How often each gram of a kind occurs in the batch."""
