@@ -117,7 +117,7 @@ class Writer:
         if self.out is None:
             self.name, self.number = f"{self.prefix}-{self.number}.warc.zst", self.number + 1
             self.fs.create_dir(self.dir, recursive=True)
-            self.out = self.fs.open_output_stream(f"{self.dir}/{self.name}")
+            self.out = self.fs.open_output_stream(f"{self.dir}/{self.name}", compression=None)
             self.out.write(struct.pack("<II", DICTIONARY_FRAME, len(self.dictionary)) + self.dictionary)
             self.records = self.bytes = 0
         self.out.write(self.packer.compress(data))
@@ -195,7 +195,7 @@ def read(folder: str, archives: DataFrame) -> DataFrame:
         kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("archive", pa.string()), ("offset", pa.int64())])
         for name in (x for batch in batches for x in batch.column(0).to_pylist()):
             rows = []
-            with fs.open_input_stream(f"{path}/{name}") as source:
+            with fs.open_input_stream(f"{path}/{name}", compression=None) as source:
                 for offset, data in frames(source, name):
                     head, _ = parse(data, f"{name} at {offset}")
                     back = head.get("WARC-Refers-To")
