@@ -212,3 +212,54 @@ def find_declaration(rows: DataFrame) -> DataFrame:
     words = r"(?m)^[ \t]*(?:export[ \t]+|default[ \t]+|async[ \t]+|public[ \t]+|private[ \t]+|static[ \t]+|final[ \t]+)*(?:def|func|function|fn|class|type|interface|struct|enum)[ \t]+(?:\([^)]*\)[ \t]+)?\Q"
     found = F.regexp_substr("content", F.concat(F.lit(words), name, F.lit(r"\E\b[^\n]*")))
     return rows.withColumn("line", F.when(name != "", found))
+
+
+def detect_architecture(docs: DataFrame) -> DataFrame:
+    """(repo_id, pattern) of repositories by their directories and marker files; five patterns in order."""
+    p = F.col("path")
+    under = lambda *dirs: F.bool_or(p.rlike("^(" + "|".join(dirs) + ")/"))
+    named = lambda *files: F.bool_or(p.isin(*files))
+    either = lambda d: (d, f"src/{d}")
+    package = F.max(F.when(p == "package.json", F.col("content")))
+    flags = docs.groupBy("repo_id").agg(
+        under(*either("features")).alias("features"), under(*either("entities")).alias("entities"), under(*either("widgets")).alias("widgets"), under(*either("pages")).alias("pages"), under(*either("app")).alias("app"),
+        named("next.config.js", "next.config.mjs", "next.config.ts").alias("next"), F.bool_or(p.rlike(r"^(src/)?app/((page|layout)\.(tsx|jsx|js|ts)|route\.(ts|js))$")).alias("routes"), package.alias("package"),
+        under(*[x for d in ("components", "hooks", "contexts", "stores", "views") for x in either(d)]).alias("spa"), named("vite.config.ts", "vite.config.js", "vite.config.mjs").alias("vite"),
+        named("pubspec.yaml", "go.mod").alias("native"), under("domain", "usecases?", "controllers", "repositories", "lib/features", "lib/presentation").alias("clean"), named("tsconfig.json").alias("ts"), under("src").alias("src"),
+    )
+    depends = lambda *names: F.coalesce(F.col("package").rlike('"(' + "|".join(names) + r')"\s*:'), F.lit(False))
+    next_ = F.col("next") | depends("next")
+    pattern = (
+        F.when((F.col("features") & F.col("entities")) | (F.col("widgets") & (F.col("features") | F.col("pages"))), "feature_sliced_design")
+        .when((next_ & (F.col("app") | F.col("pages"))) | F.col("routes"), "next_app_router")
+        .when(depends("react", "react-dom", "@reduxjs/toolkit", "zustand", "recoil", "mobx", "@tanstack/react-query", "vue", "svelte") | (F.col("spa") & F.col("package").isNotNull()) | F.col("vite"), "standard_react_spa")
+        .when(F.col("native") | F.col("clean"), "clean_architecture")
+        .when(F.col("package").isNotNull() | F.col("ts") | F.col("src"), "generic_frontend")
+        .otherwise("clean_architecture")
+    )
+    return flags.select("repo_id", pattern.alias("pattern"))
+
+
+def reanchor(anchors: DataFrame, docs: DataFrame) -> DataFrame:
+    """``anchors`` (path, symbol, span, a text) with outcome: verified where the span stands in the document, adjusted (with the declaration's line) where only its symbol is declared, else unknown_boundary."""
+    rows = anchors.join(docs.select("path", "content"), "path", "left")
+    rows = find_declaration(rows)
+    outcome = F.when(F.contains("content", F.col("span")), "verified").when(F.col("line").isNotNull(), "adjusted").otherwise("unknown_boundary")
+    return rows.withColumn("outcome", F.coalesce(outcome, F.lit("unknown_boundary"))).withColumn("span_hash", F.when(F.col("outcome") == "verified", F.sha2("span", 256)).when(F.col("outcome") == "adjusted", F.sha2("line", 256))).drop("content", "line")
+
+
+def impact_effects(roots: DataFrame, edges: DataFrame, steps: DataFrame, depth: int, budget: int) -> DataFrame:
+    """(root, node, depth, kind, target, direct): state changes and outside effects of what each root's calls reach.
+
+    The walk is that of the callers, over the same edges turned round; a claim
+    within one call is direct.
+    """
+    from tracewell.functions.text import effect_split
+    from tracewell.operators.graph import impact
+
+    turned = edges.select(F.col("callee").alias("caller"), F.col("caller").alias("callee"), "idx", "status")
+    reached, _ = impact(roots, turned, depth, budget)
+    hit = reached.select("root", "node", "depth").join(steps, "node")
+    effect = hit.filter("effect is not null").withColumn("e", effect_split(F.col("effect"))).select("root", "node", "depth", F.col("e.kind").alias("kind"), F.col("e.target").alias("target"))
+    state = hit.filter("state is not null").select("root", "node", "depth", F.lit("state_mutation").alias("kind"), F.col("state").alias("target"))
+    return effect.unionByName(state).withColumn("direct", F.col("depth") <= 1)
