@@ -1,6 +1,6 @@
 """The registered queries: one per operator, on the given tables."""
 
-from tracewell.queries import documents_q, flows_q, graphs_q, meaning_q, titles_q  # noqa: F401
+from tracewell.queries import documents_q, flows_q, folds_q, graphs_q, meaning_q, titles_q  # noqa: F401
 from tracewell.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
