@@ -32,7 +32,7 @@ from tracewell.llm.graph import components
 from tracewell.llm.store import join_small, save
 
 #: Share of the token space that the first, cheap filter counts; any share gives the same result.
-SAMPLE = 0.25
+SAMPLE = 0.3
 #: Up to so many ids (16 bytes each) are broadcast; more are joined by a shuffle.
 MAX_BROADCAST_ROWS = 1_000_000
 
@@ -82,11 +82,21 @@ def sketches(n: int, share: float):
 SKETCH = "doc_id long, n int, f1 long, f2 long, tokens array<long>"
 
 
+def prefixes_meet(k: int, num: int, den: int, x: str = "x.", y: str = "y.") -> str:
+    """SQL: the prefixes under order k share as many tokens as linked texts must.
+
+    Of the common tokens, those outside the shorter-reaching prefix are fewer
+    than ceil(s * n) of its text; all others are in both prefixes.
+    """
+    need = f"((greatest({x}n, {y}n) * {num}L + {den - 1}) div {den})"
+    return f"size(array_intersect({x}prefix_{k}, {y}prefix_{k})) >= greatest(1, ({num}L * ({x}n + {y}n) + {num + den - 1}) div {num + den} - {need} + 1)"
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) whose prefixes meet under the other orders too and whose sets are similar enough."""
     side = lambda x: nodes.select(*(F.col(c).alias(f"{x}_{c}") for c in ("id", "n", "tokens", "prefix_1", "prefix_2")))
     both = pairs.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id"))
-    both = both.filter(F.arrays_overlap("a_prefix_1", "b_prefix_1") & F.arrays_overlap("a_prefix_2", "b_prefix_2"))
+    both = both.filter(" and ".join(prefixes_meet(k, num, den, "a_", "b_") for k in (1, 2)))
     same = F.size(F.array_intersect("a_tokens", "b_tokens"))
     return both.withColumn("same", same).filter(den * F.col("same") >= num * (F.col("a_n") + F.col("b_n") - F.col("same"))).select("a", "b")
 
@@ -103,11 +113,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = save(docs.mapInArrow(sketches(n, share), SKETCH), "sketch")
-    lone = sketch.select("doc_id", F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("c"), F.first("doc_id").alias("doc_id")).filter("c = 1")
-    lone = lone.groupBy("doc_id").agg(F.count("*").alias("lone"))
-    classes = sketch.filter("n > 0").join(lone, "doc_id", "left").filter(f"{den} * (n - coalesce(lone, 0)) >= {num} * n").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id")).filter("id is not null")
-    classes = save(classes, "classes")
-    few = classes.select(F.col("id").alias("doc_id")).distinct()
+    lone = sketch.select("f1", F.explode("tokens").alias("t")).groupBy("t").agg(F.min("f1").alias("f1"), F.max("f1").alias("other")).filter("f1 = other")
+    lone = lone.groupBy("f1").agg(F.count("*").alias("lone"))
+    classes = sketch.filter("n > 0").join(lone, "f1", "left").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"), F.max("lone").alias("lone")).filter("id is not null")
+    classes = save(classes.withColumn("near", F.expr(f"{den} * (n - coalesce(lone, 0)) >= {num} * n")), "classes")
+    few = classes.filter("near").select(F.col("id").alias("doc_id")).distinct()
     rows = few.count()
 
     sets = save(join_small(docs, few, "doc_id", "left_semi", rows, MAX_BROADCAST_ROWS).mapInArrow(sketches(n, 1.0), SKETCH).select(F.col("doc_id").alias("id"), "n", "f1", "f2", "tokens").dropDuplicates(["id", "n", "f1", "f2"]), "sets")
@@ -129,9 +139,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         if hub:
             pairs = own.alias("x").join(mixed.select("t", "hub.*").alias("y"), "t")
         else:
-            left = own.join(mixed.select("t"), "t", "left_semi")
+            left = own.join(mixed.select("t"), "t", "left_semi").join(nodes.select("id", "n", "prefix_0"), ["id", "n"])
             pairs = left.alias("x").join(left.alias("y"), "t").filter("x.id < y.id")
-        pairs = pairs.filter(f"x.comp <> y.comp and {fits}").select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")).distinct()
+        meet = "x.comp <> y.comp and " + fits + ("" if hub else f" and array_intersect(x.prefix_0, y.prefix_0)[0] = t and {prefixes_meet(0, num, den)}")
+        pairs = pairs.filter(meet).select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")).distinct()
         found = save(verified(pairs, nodes, num, den), "links")
         links = found if links is None else links.union(found)
         comp = components(links)
