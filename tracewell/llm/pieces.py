@@ -46,7 +46,7 @@ class Model:
                 self.table[piece] = (score, i)
         self.byte_score = low - 10
         self.longest = max(map(len, self.table))
-        self.words_apart = not any(MARK in p[1:].lstrip(MARK) for p in self.table)
+        self.words_apart = not any(MARK in p.lstrip(MARK) or (p.startswith(2 * MARK) and p.strip(MARK)) for p in self.table)
         self.words: dict[str, bytes] = {}
 
     def viterbi(self, s: str) -> list[int]:

@@ -79,7 +79,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_ngram_jaccard_join, op3_sentencepiece, op4_quality_rules, op5_substring_dedup, op6_bm25_search, op7_lm_scoring, op8_warc, op9_line_dedup, op10_quality_classifier)
 }
 
-_WORDS = "[^\\x20\\x09-\\x0D]+"
-_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
-ORACLES: dict[str, str] = {}
+_WORD = "'[^\\x20\\x09-\\x0D]+'"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_WORD}) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 4], ' ') END AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0) x),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id)""",
+    "op5_substring_dedup": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
+v AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d) x),
+f AS (SELECT k, doc_id AS fd, i AS fi FROM v QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) = 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM v JOIN f USING (k) WHERE doc_id <> fd OR i <> fi),
+x AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d),
+k AS (SELECT doc_id, string_agg(t, ' ' ORDER BY p) AS kept FROM x WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = x.doc_id AND g.p = x.p) GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(c.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM g GROUP BY 1) c USING (doc_id)""",
+    "op6_bm25_search": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_WORD}) AS w FROM documents),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) x GROUP BY 1, 2),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1),
+a AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS m FROM d),
+q AS (SELECT query_id, t, count(*) AS times FROM (SELECT item_id AS query_id, unnest(regexp_extract_all({_LOWER}, {_WORD})) AS t FROM benchmark WHERE item_id % 20 = 0) x GROUP BY 1, 2),
+s AS (SELECT query_id, doc_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / m))) AS score FROM q JOIN df USING (t) JOIN tf USING (t) JOIN d USING (doc_id), a GROUP BY 1, 2)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank, doc_id, round(score, 6) AS score FROM s QUALIFY rank <= 10""",
+}
