@@ -23,7 +23,7 @@ CAPACITY, END_ID = 2048, 1
 #: Documents of one group; its pieces are packed in one task.
 GROUP_DOCS = 4096
 #: Text spans whose ids a worker remembers, in each of two generations.
-MAX_REMEMBERED = 250_000
+MAX_REMEMBERED = 130_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -47,11 +47,8 @@ class SpanIds(dict):
     marks after them and single line breaks are pre-tokens of their own.
     """
 
-    def __init__(self, path: str, before: str):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
-        self.model, self.before, self.older, self.tails = self.whole.model, before, {}, {}
+    def __init__(self, whole, before: str):
+        self.whole, self.model, self.before, self.older, self.tails = whole, whole.model, before, {}, {}
         self.letters = byte_letters()
         self.head = "".join(self.letters[b] for b in before.encode())
         self.first: SpanIds = self
@@ -93,7 +90,10 @@ _spans: dict[str, tuple[SpanIds, SpanIds]] = {}
 def encode(text: str, path: str) -> bytes:
     """The ids of a whole text, joined from those of its spans between spaces."""
     if path not in _spans:
-        _spans[path] = SpanIds(path, ""), SpanIds(path, " ")
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(path)
+        _spans[path] = SpanIds(whole, ""), SpanIds(whole, " ")
         _spans[path][1].first = _spans[path][0]
     first, later = _spans[path]
     head, *rest = _EDGE.split(text) if _ODD.search(text) else text.split(" ")

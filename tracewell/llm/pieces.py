@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Words whose ids a worker remembers.
-MAX_REMEMBERED = 300_000
+MAX_REMEMBERED = 150_000
 
 
 class Model:

@@ -86,7 +86,7 @@ def super_kmers(width: int, gram: int, buckets: int):
         seen: dict[bytes, tuple] = {}
         for batch in batches:
             ids, prints = (np.asarray(batch.column(i)) for i in (0, 1))
-            for chunk in W.scan(batch.column(2), most=2 * W.CHUNK_BYTES):
+            for chunk in W.scan(batch.column(2), most=4 * W.CHUNK_BYTES):
                 rows = list(one(chunk, ids, prints, seen))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "rows", "numbers", "words"])
 

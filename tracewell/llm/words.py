@@ -13,7 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+HASH_BLOCK = 1 << 17
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -36,7 +37,7 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, n of each at least."""
     global _powers, _inverses
     if len(_powers) < n:
-        size = max(n, CHUNK_BYTES + 1)
+        size = max(n, 2 * HASH_BLOCK)
         one = np.ones(size, np.uint64)
         one[1:] = np.uint64(_BASE)
         _powers = np.multiply.accumulate(one)
@@ -112,11 +113,21 @@ def scan(column: pa.Array, lower: bool = False, most: int = CHUNK_BYTES) -> Iter
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges, by prefix sums of a polynomial."""
-    powers, inverses = _tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUES[data] * powers[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverses[starts])
+    """64-bit hashes of byte ranges in ascending order, by prefix sums of a polynomial.
+
+    A hash depends on the range's bytes alone, so the sums are taken over
+    blocks of ranges, which keeps them small.
+    """
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + HASH_BLOCK)))
+        at, part = starts[i], data[starts[i] : ends[i:j].max()]
+        powers, inverses = _tables(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_VALUES[part] * powers[: len(part)], out=sums[1:])
+        out[i:j] = (sums[ends[i:j] - at] - sums[starts[i:j] - at]) * inverses[starts[i:j] - at]
+        i = j
+    return mix(out)
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
