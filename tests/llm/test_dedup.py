@@ -138,6 +138,40 @@ def test_lines(spark, messy, messy_rows):
     assert total > 20 and line_dedup.remove_lines(messy).count() == len(messy_rows)
 
 
+def all_earlier(rows):
+    """Lines removed where each document is aligned with every earlier one."""
+    return lines_removed(rows, len(rows), 8)
+
+
+def test_blocks_of_frequent_lines_whose_first_holders_differ(spark):
+    a, b, c = "one two three four", "five six seven eight", "nine ten eleven twelve"
+    long = [" ".join(f"{x}{n}" for n in range(9)) for x in "xy"]
+    rows = [(1, a), (2, b), (3, f"own words here now\n{c}"), (4, f"{b}\nmore\n{a}"), (5, "\n".join(long))]
+    rows += [(i, f"top {i}\n{a}\n\n{b}\n{c}\nend {i}") for i in range(10, 30)]
+    rows += [(i, f"top {i}\n{a}\n{b}\nend {i}\n{c}") for i in range(30, 50)]
+    rows += [(i, f"top {i}\n{long[1]}\n{long[0]}\nend {i}") for i in range(50, 70)]
+    gone = all_earlier(rows)
+    got = {r.row.doc_id: r.n_removed for r in line_dedup.remove_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: len(gone[d]) for d, (i, _) in enumerate(rows)}
+    assert [got[i] for i in (10, 11, 29, 30, 31, 51)] == [0, 4, 4, 0, 2, 2]
+
+
+def test_each_line_of_a_common_block_is_in_a_common_run():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    for _ in range(200):
+        block = [rng.randint(1, 9) for _ in range(rng.randint(1, 9))]
+        a, b = ([rng.randint(1, 9) for _ in range(rng.randint(0, 5))] + block + [rng.randint(1, 9) for _ in range(rng.randint(0, 5))] for _ in range(2))
+        runs = [line_dedup.run_hashes(np.array(x), np.array([n % 4 for n in x]), np.arange(1, 10), 8) for x in (a, b)]
+        if sum(n % 4 for n in block) >= 8:
+            assert set(runs[0]) & set(runs[1])
+            own = line_dedup.run_hashes(np.array(block), np.array([n % 4 for n in block]), np.arange(1, 10), 8)
+            assert set(own) <= set(runs[0]) & set(runs[1])
+
+
 def lcs(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a)):
