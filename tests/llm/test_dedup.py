@@ -3,6 +3,8 @@
 import hashlib
 from collections import defaultdict
 
+import pytest
+
 from tracewell.llm import line_dedup, ngram_join, substring_dedup
 
 LAST = 2**63 - 1
@@ -143,7 +145,9 @@ def all_earlier(rows):
     return lines_removed(rows, len(rows), 8)
 
 
-def test_blocks_of_frequent_lines_whose_first_holders_differ(spark):
+@pytest.mark.parametrize("hot", [15, 1000])
+def test_blocks_of_frequent_lines_whose_first_holders_differ(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT_DF", hot)
     a, b, c = "one two three four", "five six seven eight", "nine ten eleven twelve"
     long = [" ".join(f"{x}{n}" for n in range(9)) for x in "xy"]
     rows = [(1, a), (2, b), (3, f"own words here now\n{c}"), (4, f"{b}\nmore\n{a}"), (5, "\n".join(long))]
@@ -194,6 +198,23 @@ def test_patience_is_a_common_subsequence():
     assert len(line_dedup.patience(a, b)) == 50
 
 
+def test_a_gap_without_unique_lines_is_aligned(monkeypatch):
+    import random
+
+    passage = list(range(100, 106))
+    early, late = [1, *passage, 2, *passage, 3], [4, *passage, 5]
+    assert line_dedup.deleted(early, late, [3] * 8, 8) == [1, 2, 3, 4, 5, 6]
+    assert line_dedup.deleted(late, early, [3] * 15, 8) in ([1, 2, 3, 4, 5, 6], [8, 9, 10, 11, 12, 13])
+    rng = random.Random(8)
+    for bits in (line_dedup.MAX_BITS, 20):
+        monkeypatch.setattr(line_dedup, "MAX_BITS", bits)
+        for _ in range(300):
+            a, b = ([rng.randint(0, 5) for _ in range(rng.randint(0, 30))] for _ in range(2))
+            pairs = line_dedup.common(a, b)
+            assert all(a[i] == b[j] for i, j in pairs) and len(pairs) == lcs(a, b)
+            assert all(i < p and j < q for (i, j), (p, q) in zip(pairs, pairs[1:], strict=False))
+
+
 def test_sha_of_kept(messy):
     for r in substring_dedup.remove_repeats(messy, carry=False).selectExpr("row", "kept", "sha2(kept, 256) AS h").limit(5).collect():
         assert r.h == hashlib.sha256(r.kept.encode()).hexdigest() and list(r.row.asDict()) == ["doc_id"]
