@@ -66,6 +66,27 @@ def test_wand_equals_all_scores():
         assert [d for _, d in got] == [d for _, d in want] and [s for s, _ in got] == pytest.approx([s for s, _ in want])
 
 
+def test_whole_texts_in_blocks_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 300, rng.integers(1, 150)))) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    queries = docs.filter("doc_id % 20 = 0").selectExpr("doc_id as query_id", "text")
+    index = bm25.build(docs)
+    monkeypatch.setattr(bm25, "BLOCK_TERMS", 100)
+    got = defaultdict(list)
+    for r in bm25.search(index, queries).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((-round(r.score, 6), r.doc_id))
+    want = bm25_by_loop(rows, [r for r in rows if r[0] % 20 == 0], 10)
+    assert got == {q: [(round(s, 6), d) for s, d in v] for q, v in want.items()} and len(got) == 12
+
+
+def test_queries_share_the_postings_of_a_term():
+    docs, scores, bounds = [1, 5, 9], [0.5, 1.0, 0.25], [1.0]
+    one, two = bm25.Cursor(3, 2.0, docs, scores, bounds), bm25.Cursor(3, 1.0, docs, scores, bounds)
+    assert one.docs is two.docs and one.scores is two.scores and one.bounds is two.bounds
+    assert bm25.wand([one], 2) == [(2.0, 5), (1.0, 1)] and bm25.wand([two], 1) == [(1.0, 5)]
+
+
 def test_search_of_nothing(spark, empty, messy):
     q = spark.createDataFrame([(1, "w1")], "query_id long, text string")
     assert bm25.search(bm25.build(empty), q).collect() == []

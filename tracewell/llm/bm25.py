@@ -10,8 +10,9 @@ the shards' best k is exact. Terms are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,8 @@ BLOCK = 64
 SHARD_TOKENS = 3_000_000
 #: Up to so many distinct query terms (8 bytes each) are broadcast; more are joined by a shuffle.
 MAX_BROADCAST_TERMS = 500_000
+#: Queries go through the shards in blocks of about so many distinct words.
+BLOCK_TERMS = 200_000
 INDEX = "shard long, term long, df int, docs array<long>, tfs array<int>, lengths array<int>, most array<int>, least array<int>"
 
 
@@ -112,13 +115,12 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 class Cursor:
-    """A term's postings in one shard, with the upper bounds of its blocks."""
+    """A query's place in a term's postings in one shard. The arrays, without the query's weight, are shared by all queries."""
 
-    def __init__(self, term: int, weight: float, docs: np.ndarray, scores: np.ndarray, bounds: np.ndarray):
-        self.term, self.docs, self.at = term, docs.tolist(), 0
-        self.scores = (weight * scores).tolist()
-        self.bounds = (weight * bounds).tolist()
-        self.bound = max(self.bounds)
+    def __init__(self, term: int, weight: float, docs: Sequence[int], scores: Sequence[float], bounds: Sequence[float]):
+        self.term, self.weight, self.at = term, weight, 0
+        self.docs, self.scores, self.bounds = docs, scores, bounds
+        self.bound = weight * max(bounds)
 
     @property
     def doc(self) -> int:
@@ -134,7 +136,7 @@ class Cursor:
         at = bisect_left(self.docs, doc, self.at)
         if at == len(self.docs):
             return 0.0, self.docs[-1]
-        return self.bounds[at // BLOCK], self.docs[min(len(self.docs), (at // BLOCK + 1) * BLOCK) - 1]
+        return self.weight * self.bounds[at // BLOCK], self.docs[min(len(self.docs), (at // BLOCK + 1) * BLOCK) - 1]
 
 
 def wand(cursors: list[Cursor], k: int) -> list[tuple[float, int]]:
@@ -171,7 +173,7 @@ def wand(cursors: list[Cursor], k: int) -> list[tuple[float, int]]:
             here = sorted((c for c in cursors[: pivot + 1]), key=lambda c: c.term)
             score = 0.0
             for c in here:
-                score += c.scores[c.at]
+                score += c.weight * c.scores[c.at]
             if score > floor or len(best) < k:
                 best.append((score, doc))
                 best.sort(key=lambda x: (-x[0], x[1]))
@@ -190,6 +192,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     repeated words counting as often. Equal scores are ranked by doc_id. Rows
     that repeat a query_id are one query of all their words. Documents without
     a word of the query aren't returned. No rows for an empty index or query.
+    Queries are dealt into blocks of about BLOCK_TERMS words; each shard takes
+    each block by itself, so what a task holds doesn't grow with the queries.
     """
     terms = save(query_terms(queries), "terms")
     wanted = terms.select("term").distinct()
@@ -199,7 +203,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     n, mean = about["n"] or 0, (about["words"] or 0) / max(1, about["n"] or 0) or 1.0
     weights = found.groupBy("term").agg(F.sum(F.col("df").cast("long")).alias("all"))
     weighted = terms.join(weights, "term").select("query_id", "term", (F.col("times") * F.log(1 + (n - F.col("all") + 0.5) / (F.col("all") + 0.5))).alias("weight"))
-    by_term = weighted.groupBy("term").agg(F.collect_list(F.struct("query_id", "weight")).alias("queries"))
+    blocks = max(1, -(-terms.count() // BLOCK_TERMS))
+    by_term = weighted.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).groupBy("term", "block").agg(F.collect_list(F.struct("query_id", "weight")).alias("queries"))
     rows = found.join(by_term, "term")
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
@@ -208,11 +213,12 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             tf, length = np.asarray(row.tfs, float), np.asarray(row.lengths, float)
             most, least = np.asarray(row.most, float), np.asarray(row.least, float)
             impact = lambda t, d: t * (K1 + 1) / (t + K1 * (1 - B + B * d / mean))
+            docs, scores, bounds = array("q", np.asarray(row.docs, np.int64).tobytes()), array("d", impact(tf, length).tobytes()), array("d", impact(most, least).tobytes())
             for q in row.queries:
-                by_query.setdefault(q["query_id"], []).append(Cursor(row.term, q["weight"], np.asarray(row.docs), impact(tf, length), impact(most, least)))
+                by_query.setdefault(q["query_id"], []).append(Cursor(row.term, q["weight"], docs, scores, bounds))
         out = [(q, doc, score) for q, cursors in by_query.items() for score, doc in wand(cursors, k)]
         return pd.DataFrame(out, columns=["query_id", "doc_id", "score"])
 
-    best = rows.groupBy("shard").applyInPandas(run, "query_id long, doc_id long, score double")
+    best = rows.groupBy("shard", "block").applyInPandas(run, "query_id long, doc_id long, score double")
     ranked = best.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, doc_id)"))
     return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
