@@ -120,6 +120,14 @@ def test_round_trip(text):
     assert model.decode(list(array("i", model.encode(text)))) == text
 
 
+@pytest.mark.parametrize("n", range(1, 41))
+def test_spaces_before_a_word_are_on_the_best_path(model, n):
+    for text in (" " * n + "indent", "a" + " " * n + "return x", "a" + " " * n + "b" + " " * (n // 2), " " * n):
+        ids = list(array("i", model.encode(text)))
+        assert model.decode(ids) == text
+        assert score_of(model, ids) == pytest.approx(best_score(model, pieces.MARK + text.replace(" ", pieces.MARK)), rel=1e-12)
+
+
 def test_a_long_word_needs_no_spaces(model):
     word = "internationalisation" * 400
     ids = model.viterbi(pieces.MARK + word)

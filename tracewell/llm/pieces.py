@@ -4,7 +4,8 @@ The ids of a text are the path of pieces with the largest sum of the model's
 own scores. Only a window as long as the longest piece is open: whenever all
 paths that survive in it pass one boundary, what lies before is committed.
 The vocabulary has no piece with a word mark after another character, so each
-word mark is such a boundary, and words are encoded once for each worker.
+run of word marks starts at such a boundary, and words with the spaces before
+them are encoded once for each worker.
 Characters without a piece become byte pieces.
 """
 
@@ -100,19 +101,21 @@ class Model:
         return [i for piece in reversed(ids) for i in piece]
 
     def _word(self, word: str) -> bytes:
+        """Ids of a space and ``word``; further spaces may come first in it."""
         found = self.words.get(word)
         if found is None:
-            found = array("i", self._marked(MARK + word)).tobytes()
+            bare = word.lstrip(" ")
+            found = array("i", self._marked(MARK * (1 + len(word) - len(bare)), bare)).tobytes()
             if len(self.words) > MAX_REMEMBERED:
                 self.words.clear()
             if len(word) < 64:
                 self.words[word] = found
         return found
 
-    def _marked(self, s: str) -> list[int]:
-        """viterbi(), but a word mark of the text itself (not a space) is written as bytes."""
-        head, *rest = s[1:].split(MARK)
-        out = self.viterbi(s[0] + head)
+    def _marked(self, spaces: str, s: str) -> list[int]:
+        """viterbi() of marks and ``s``, but a word mark of the text itself (not a space) is written as bytes."""
+        head, *rest = s.split(MARK)
+        out = self.viterbi(spaces + head)
         for part in rest:
             out += [self.byte_id[b] for b in MARK.encode()] + self.viterbi(part)
         return out
@@ -131,15 +134,9 @@ class Model:
             if w == "":
                 run += 1
                 continue
-            if run:
-                out.append(self._spaces(run))
+            out.append(word(" " * run + w))
             run = 0
-            out.append(word(w))
-        return b"".join([*out, self._spaces(run)])
-
-    def _spaces(self, n: int) -> bytes:
-        """Ids of n spaces before a word's own; paths of marks alone meet at the word."""
-        return array("i", self.viterbi(MARK * n)).tobytes()
+        return b"".join([*out, array("i", self.viterbi(MARK * run)).tobytes()])
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, without the space put before it."""
