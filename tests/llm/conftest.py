@@ -38,3 +38,11 @@ def messy(spark, messy_rows):
 @pytest.fixture(scope="session")
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def sf_texts():
+    """The texts of the smallest given table."""
+    import pyarrow.parquet as pq
+
+    return [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()]
