@@ -9,27 +9,27 @@ full sequences and a rest; only rests share bins.
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.store import save
+
 CAPACITY, END_ID = 2048, 1
 #: Documents of one group; its pieces are packed in one task.
 GROUP_DOCS = 4096
-#: Text spans whose ids a worker remembers, in each of two generations.
-MAX_REMEMBERED = 130_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-#: A pre-token of this vocabulary starts at each single space before a visible character.
-_ODD = re.compile(r" (?=[\s᠎]|$)")
-_EDGE = re.compile(r" (?=[^\s᠎])")
+# Fixed value: the pattern by which byte-level vocabularies of this kind cut a text before merging.
+PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def byte_letters() -> list[str]:
@@ -39,65 +39,47 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
 
 
-class SpanIds(dict):
-    """Ids of text spans as little-endian 32-bit words, computed where missing.
-
-    Spans that are used again stay: a full generation is kept as the older
-    one, from which they are taken over. Words go straight to the model;
-    marks after them and single line breaks are pre-tokens of their own.
-    """
+def plain_byte_level(file: dict) -> bool:
+    """Whether the file's ids are those of merging bytes in the order of ids, after cutting by PRETOKENS, with nothing before or between."""
+    model, cut_, special = file["model"], file["pre_tokenizer"] or {}, file["added_tokens"]
+    if model.get("type") != "BPE" or cut_.get("type") != "ByteLevel" or file["normalizer"] is not None:
+        return False
+    if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return False
+    if cut_.get("add_prefix_space") or not cut_.get("use_regex", True) or any(t["single_word"] or t["lstrip"] or t["rstrip"] or not t["special"] for t in special):
+        return False
+    own = model["vocab"].keys() - {t["content"] for t in special}
+    merged = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
+    return len(own) == 256 + len(merged) and own >= set(byte_letters()) and all(a < b for a, b in zip([255, *merged], merged, strict=False))
 
-    def __init__(self, whole, before: str):
-        self.whole, self.model, self.before, self.older, self.tails = whole, whole.model, before, {}, {}
-        self.letters = byte_letters()
-        self.head = "".join(self.letters[b] for b in before.encode())
-        self.first: SpanIds = self
-
-    def encode(self, text: str) -> bytes:
-        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def tail(self, marks: str) -> bytes:
-        if marks not in self.tails:
-            self.tails[marks] = self.encode(marks)
-        return self.tails[marks]
-
-    def compute(self, span: str) -> bytes:
-        word = span.rstrip(".,;:!?")
-        if word.isalpha():
-            letters = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
-            ids = array("I", [t.id for t in self.model.tokenize(self.head + letters)]).tobytes()
-            return ids + self.tail(span[len(word) :]) if len(word) < len(span) else ids
-        a, line, b = span.partition("\n")
-        if line and a and b and not a[-1].isspace() and not b[0].isspace():
-            return self[a] + self.tail(line) + self.first[b]
-        return self.encode(self.before + span)
-
-    def __missing__(self, span: str) -> bytes:
-        ids = self.older.pop(span, None)
-        if ids is None:
-            ids = self.compute(span)
-        if len(span) < 64:
-            if len(self) >= MAX_REMEMBERED:
-                self.older = dict(self)
-                self.clear()
-            self[span] = ids
-        return ids
-
-
-_spans: dict[str, tuple[SpanIds, SpanIds]] = {}
 
+@cache
+def encoder(path: str) -> Callable[[str], np.ndarray]:
+    """The ids of a text by the tokenizer file at ``path``, without special tokens of its own around them.
 
-def encode(text: str, path: str) -> bytes:
-    """The ids of a whole text, joined from those of its spans between spaces."""
-    if path not in _spans:
+    A plain byte-level file goes to tiktoken, which merges the same way with a
+    fraction of the work; any other file to the tokenizers library.
+    """
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    if not plain_byte_level(file):
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(path)
-        _spans[path] = SpanIds(whole, ""), SpanIds(whole, " ")
-        _spans[path][1].first = _spans[path][0]
-    first, later = _spans[path]
-    head, *rest = _EDGE.split(text) if _ODD.search(text) else text.split(" ")
-    return first[head] + b"".join(map(later.__getitem__, rest))
+        return lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
+    import tiktoken
+
+    special = {t["content"]: t["id"] for t in file["added_tokens"]}
+    byte = {c: b for b, c in enumerate(byte_letters())}
+    ranks = {bytes(byte[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in special}
+    model = tiktoken.Encoding("file", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens=special)
+    del file
+    return lambda text: model.encode_to_numpy(text, allowed_special="all")
+
+
+def encode(text: str, path: str) -> bytes:
+    """The ids of a whole text as little-endian 32-bit words."""
+    return encoder(path)(text).astype("<u4").tobytes()
 
 
 def cut(path: str, capacity: int, end_id: int):
@@ -142,16 +124,16 @@ class Bins:
         return bin_
 
 
-def pack_group(group: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    """One group's pieces with sequence_id (numbered in the group) and offset."""
-    group = group.sort_values(["length", "doc_id", "start", "salt"], ascending=[False, True, True, True])
+def pack_group(group: pa.Table, capacity: int, number: int) -> pa.Table:
+    """PACKED of one group of pieces; its sequences have the ids from number << 40 on."""
+    group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("salt", "ascending")])
     bins, fill, ids, offsets = Bins(len(group), capacity), {}, [], []
-    for size in group["length"].tolist():
+    for size in group["length"].to_pylist():
         at = bins.place(size)
-        ids.append(at)
+        ids.append((number << 40) + at)
         offsets.append(fill.get(at, 0))
         fill[at] = offsets[-1] + size
-    return group.assign(sequence_id=ids, offset=offsets)
+    return group.drop_columns(["group", "salt"]).append_column("sequence_id", pa.array(ids, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, group_docs: int = GROUP_DOCS) -> DataFrame:
@@ -162,15 +144,13 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     Every id is in one piece. Rows with equal ids or texts are packed as
     separate documents; a null doc_id stays null. An empty table gives an
     empty result. The group of a document is a hash of its id and its place
-    in its partition, so no id is hot; a group has about ``group_docs``.
+    in its partition, so no id is hot; a group has about ``group_docs``. The
+    pieces are written before they are grouped, so a task that is run again
+    finds the same places.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    groups = max(1, -(-docs.count() // group_docs))
-    pieces = docs.mapInArrow(cut(path, capacity, end_id), PIECES).withColumn("group", F.pmod(F.xxhash64("doc_id", "salt"), F.lit(groups)))
-
-    def packed(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        out = pack_group(group, capacity)
-        out["sequence_id"] += key[0] << 40
-        return out.drop(columns=["group", "salt"])
+    pieces = save(docs.mapInArrow(cut(path, capacity, end_id), PIECES), "pieces")
+    groups = max(1, -(-pieces.filter("start = 0").count() // group_docs))
+    pieces = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "salt"), F.lit(groups)))
 
-    return pieces.groupBy("group").applyInPandas(packed, PACKED)
+    return pieces.groupBy("group").applyInArrow(lambda key, group: pack_group(group, capacity, key[0].as_py()), PACKED)
