@@ -28,6 +28,8 @@ from tracewell.llm import words as W
 WIDTH, GRAM = 20, 3
 #: Bytes of text that a bucket of windows should hold.
 BUCKET_BYTES = 12 << 20
+#: Bytes of text whose windows for one bucket travel as one block.
+CHUNK_BYTES = 4 << 20
 #: Windows that a task remembers, to settle later copies at once; beyond that they travel.
 MAX_REMEMBERED = 100_000
 
@@ -71,14 +73,19 @@ def equal_groups(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def pack(bucket: int, numbers: np.ndarray, words: list[bytes] | None) -> tuple:
     """A row of BLOCKS: columns k, fp, start, n of runs of windows, and their words."""
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    return bucket, numbers.shape[1], squeeze(np.ascontiguousarray(numbers).tobytes()), None if words is None else squeeze(b"\n".join(words))
+    squeeze = zstandard.ZstdCompressor(level=5).compress
+    return bucket, numbers.shape[1], squeeze(np.ascontiguousarray(numbers).view(np.uint8).reshape(4, -1, 8).swapaxes(1, 2).tobytes()), None if words is None else squeeze(b"\n".join(words))
 
 
 def expand(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def unpack(rows: int, numbers: bytes) -> np.ndarray:
+    """Columns k, fp, start, n of a block; their bytes travel by place, as the upper ones are mostly equal."""
+    return np.ascontiguousarray(np.frombuffer(expand(numbers), np.uint8).reshape(4, 8, rows).swapaxes(1, 2)).view(np.int64).reshape(4, rows)
+
+
 def super_kmers(width: int, gram: int, buckets: int):
     """mapInArrow from (k, fp, text) to BLOCKS: runs of windows to compare (with words) and runs settled here (without)."""
 
@@ -86,7 +93,7 @@ def super_kmers(width: int, gram: int, buckets: int):
         seen: dict[bytes, tuple] = {}
         for batch in batches:
             ids, prints = (np.asarray(batch.column(i)) for i in (0, 1))
-            for chunk in W.scan(batch.column(2), most=4 * W.CHUNK_BYTES):
+            for chunk in W.scan(batch.column(2), most=CHUNK_BYTES):
                 rows = list(one(chunk, ids, prints, seen))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "rows", "numbers", "words"])
 
@@ -115,7 +122,7 @@ def super_kmers(width: int, gram: int, buckets: int):
         new[1:] = row[1:] != row[:-1]
         a, n = runs_of(good & gone, new)
         if len(a):
-            yield pack(int(fp[a[0]] % buckets), np.stack([k[a], fp[a], at[a], n]), None)
+            yield pack(int(W.mix(k[a[:1]].view(np.uint64))[0] % np.uint64(buckets)), np.stack([k[a], fp[a], at[a], n]), None)
         new[1:] |= least[1:] != least[:-1]
         b, m = runs_of(good & ~gone, new)
         bucket = (W.mix(least[b], 3) % np.uint64(buckets)).astype(np.int64)
@@ -141,14 +148,14 @@ def repeated(width: int):
         for batch in batches:
             for bucket, rows, numbers, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if words is None:
-                    yield removed(np.frombuffer(expand(numbers), np.int64).reshape(4, rows))
+                    yield removed(unpack(rows, numbers))
                 else:
                     blocks.setdefault(bucket, []).append((rows, numbers, words))
         for bucket in list(blocks):
             yield one(blocks.pop(bucket))
 
     def one(held: list) -> pa.RecordBatch:
-        k, fp, start, n = np.concatenate([np.frombuffer(expand(numbers), np.int64).reshape(4, rows) for rows, numbers, _ in held], axis=1)
+        k, fp, start, n = np.concatenate([unpack(rows, numbers) for rows, numbers, _ in held], axis=1)
         hashes, left, right, texts, base = [], [], [], [], 0
         for _, _, words in held:
             text = expand(words)
@@ -223,7 +230,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, carry:
     the text, and equal rows are one. An empty table gives an empty result.
     """
     row = F.struct("*") if carry else F.struct("doc_id")
-    docs = docs.select(row.alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("k"), F.col("text").cast("string").alias("text")).withColumn("fp", F.xxhash64("text"))
+    docs = docs.select(row.alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("k"), F.col("text").cast("string").alias("text"))
+    # Where each id occurs once, no hash of the text is needed to tell rows apart.
+    docs = docs.withColumn("fp", F.lit(0).cast("long") if docs.groupBy("k").count().filter("count > 1").isEmpty() else F.xxhash64("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 3 * size // BUCKET_BYTES)
     blocks = docs.select("k", "fp", "text").mapInArrow(super_kmers(width, gram, buckets), BLOCKS)
