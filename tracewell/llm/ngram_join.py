@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm import words as W
 from tracewell.llm.graph import components
-from tracewell.llm.store import join_small, save
+from tracewell.llm.store import join_small, remove, save
 
 #: Share of the token space that the first, cheap filter counts; any share gives the same result.
 SAMPLE = 0.3
@@ -112,6 +112,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    spark, made, done = docs.sparkSession, [], []
     sketch = save(docs.mapInArrow(sketches(n, share), SKETCH), "sketch")
     lone = sketch.select("f1", F.explode("tokens").alias("t")).groupBy("t").agg(F.min("f1").alias("f1"), F.max("f1").alias("other")).filter("f1 = other")
     lone = lone.groupBy("f1").agg(F.count("*").alias("lone"))
@@ -120,14 +121,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     few = classes.filter("near").select(F.col("id").alias("doc_id")).distinct()
     rows = few.count()
 
-    sets = save(join_small(docs, few, "doc_id", "left_semi", rows, MAX_BROADCAST_ROWS).mapInArrow(sketches(n, 1.0), SKETCH).select(F.col("doc_id").alias("id"), "n", "f1", "f2", "tokens").dropDuplicates(["id", "n", "f1", "f2"]), "sets")
+    sets = save(join_small(docs, few, "doc_id", "left_semi", rows, MAX_BROADCAST_ROWS).mapInArrow(sketches(n, 1.0), SKETCH).select(F.col("doc_id").alias("id"), "n", "f1", "f2", "tokens").dropDuplicates(["id", "n", "f1", "f2"]), "sets", made)
     flat = sets.select("id", "n", "f1", "f2", F.explode("tokens").alias("t"))
     shared = flat.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1")
     need = f"cast((n * {num}L + {den - 1}) div {den} as int)"
     nodes = flat.join(shared, "t").groupBy("id", "n", "f1", "f2").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("all"))
     nodes = nodes.withColumn("alive", F.size("all")).filter(f"alive >= {need}").withColumn("take", F.expr(f"alive - {need} + 1"))
     other = "slice(transform(array_sort(transform(all, x -> struct(cast(log2(x.df) as int) as c, xxhash64(x.t, {k}) as h, x.t as t))), x -> x.t), 1, take)"
-    nodes = save(nodes.select("id", "n", "alive", F.expr("array_sort(transform(all, x -> x.t))").alias("tokens"), F.expr("slice(transform(all, x -> x.t), 1, take)").alias("prefix_0"), F.expr(other.format(k=1)).alias("prefix_1"), F.expr(other.format(k=2)).alias("prefix_2")), "nodes")
+    nodes = save(nodes.select("id", "n", "alive", F.expr("array_sort(transform(all, x -> x.t))").alias("tokens"), F.expr("slice(transform(all, x -> x.t), 1, take)").alias("prefix_0"), F.expr(other.format(k=1)).alias("prefix_1"), F.expr(other.format(k=2)).alias("prefix_2")), "nodes", done)
+    remove(spark, made)
 
     index = nodes.select("id", "n", "alive", F.explode("prefix_0").alias("t"))
     fits = f"least(x.alive, y.alive) * {num + den}L >= {num}L * (x.n + y.n)"
@@ -143,9 +145,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             pairs = left.alias("x").join(left.alias("y"), "t").filter("x.id < y.id")
         meet = "x.comp <> y.comp and " + fits + ("" if hub else f" and array_intersect(x.prefix_0, y.prefix_0)[0] = t and {prefixes_meet(0, num, den)}")
         pairs = pairs.filter(meet).select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")).distinct()
-        found = save(verified(pairs, nodes, num, den), "links")
+        found = save(verified(pairs, nodes, num, den), "links", done)
         links = found if links is None else links.union(found)
-        comp = components(links)
+        remove(spark, made)  # the components before
+        comp = components(links, made)
+    remove(spark, done)
     named = classes.join(comp, F.col("id") == F.col("node"), "left").select("n", "f1", "f2", F.coalesce("comp", "id").alias("comp"))
     out = sketch.join(named, ["n", "f1", "f2"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
