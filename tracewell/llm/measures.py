@@ -27,7 +27,7 @@ class Counter:
 
     def __init__(self, chunk: W.Chunk, table: np.ndarray, only: np.ndarray | None = None):
         marks = table[chunk.data]
-        self.total = np.zeros(len(marks) + 1, np.int64)
+        self.total = np.zeros(len(marks) + 1, np.int32 if len(marks) < 1 << 31 else np.int64)
         np.cumsum(marks if only is None else marks * only, out=self.total[1:])
 
     def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
