@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as X
+from tracewell.functions import titles as TT
 from tracewell.operators import candidates as C
 from tracewell.operators import diff as I
 from tracewell.operators import graph as H
@@ -32,6 +33,25 @@ def test_redaction(spark, text, hits):
     assert r.hits == hits and (r.text == text) == (hits == 0) and r.status == ("redacted" if hits else "clean")
 
 
+@pytest.mark.parametrize(("name", "title"), [("submitOrder", "Submit order"), ("_onItemAdded", "Item added"), ("onCheckoutPressed", "Checkout pressed"), ("URLLoader", "Url loader"), ("onClick", "Click"), ("", "Unnamed"), (None, "Unnamed"), ("__", "Unnamed"), ("on", "On"), ("ABTest", "Ab test"), ("aBTest", "A btest"), ("a1B", "A1 b")])
+def test_humanize(spark, name, title):
+    assert spark.createDataFrame([(name,)], "n string").select(X.humanize(F.col("n")).alias("t")).first().t == title
+
+
+@pytest.mark.parametrize(("raw", "layer"), [("entity", "domain"), ("use_case", "usecase"), (" Handler ", "usecase"), ("lib/DAO", "data"), ("middleware", "infra"), ("sdk", "external"), ("vo", "domain"), ("what", "unknown"), ("", "unknown"), (None, "unknown"), ("external", "external")])
+def test_layer_norm(spark, raw, layer):
+    row = spark.createDataFrame([(raw,)], "r string")
+    assert row.select(X.layer_norm(F.col("r")).alias("l")).first().l == layer
+    assert row.select(X.layer_norm(F.col("r"), {"what": "data"}).alias("l")).first().l == ("data" if raw == "what" else "unknown")
+
+
+@pytest.mark.parametrize(("name", "scope", "body", "want"), [("useMemo", None, "'use server'", None), ("save", None, "'use server'; x", "lifecycle_callback"), ("getAll", None, '"use server"', None), ("POST", None, None, "lifecycle_callback"), ("onMessage", None, None, "lifecycle_callback"), ("run", "MailWorker", None, "lifecycle_callback"), ("execute", None, None, "usecase_call"), ("LoginUseCase.run", None, None, "usecase_call"), ("handleClick", None, None, "route_callback"), ("OrderScreen.changeSize", None, None, "route_callback"), ("OrderScreen.getSelection", None, None, None), ("saveAction", None, None, "route_callback"), ("useCart", None, None, "notifier_method"), ("setName", None, None, "notifier_method"), ("total", "CartStore", None, "notifier_method"), ("total", None, None, None)])
+def test_marker_web(spark, name, scope, body, want):
+    row = spark.createDataFrame([(name, scope, body)], "n string, s string, b string")
+    got = row.select(TT.marker_web(F.col("s"), F.col("n"), F.col("b")).alias("m")).first().m
+    assert (got.marker if got else None) == want
+
+
 def test_chain_walk(spark):
     rng = random.Random(3)
     rows, want = [], set()
@@ -121,11 +141,11 @@ def run_stream(spark, df, tmp_path, name):
 def test_ingest_stream_equals_batch(spark, tmp_path):
     rng = random.Random(1)
     rows = [(f"p{rng.randint(0, 4)}", i, rng.randint(0, 30), rng.choice(["watcher", "editor", "other"]), rng.choice(["click", "error", "view"])) for i in range(120)]
-    schema = "path string, seq long, version long, source string, kind string"
-    batch = {(r.path, r.seq, r.reason) for r in twins.versioned_ingest(spark.createDataFrame(rows, schema)).collect()}
+    schema, kinds = "path string, seq long, version long, source string, kind string", ("click", "view")
+    batch = {(r.path, r.seq, r.reason) for r in twins.versioned_ingest(spark.createDataFrame(rows, schema), kinds=kinds).collect()}
     src = tmp_path / "in"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(src))
-    out = run_stream(spark, live.ingest_stream(spark.readStream.schema(schema).parquet(str(src))), tmp_path, "ingest")
+    out = run_stream(spark, live.ingest_stream(spark.readStream.schema(schema).parquet(str(src)), kinds=kinds), tmp_path, "ingest")
     assert {tuple(r) for r in out} == batch
 
 

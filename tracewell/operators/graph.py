@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a checkpoint, in the folder that the session names."""
+    """Cuts lineage with a checkpoint, in the folder that the session names; on one machine (tests) a temporary one if it names none."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracewell-"))
     return df.checkpoint()
 
@@ -77,19 +80,20 @@ def expand_calls(entries: DataFrame, calls: DataFrame, limit: int) -> DataFrame:
 
 
 def chain_walk(pointers: DataFrame, heads: DataFrame) -> DataFrame:
-    """(key, node): nodes on the chains from heads (key, node) along pointers (key, node, next), by doubling the pointers."""
-    jump = _cut(pointers.filter("next is not null").select("key", "node", "next"))
-    reached = _cut(heads.select("key", "node").distinct())
-    count = reached.count()
+    """(key, node): nodes on the chains from heads (key, node) along pointers (key, node, next), by doubling the pointers.
+
+    A pointer leads to a larger node, so the pointers run out after as many
+    rounds as the longest chain can be halved.
+    """
+    jump = _cut(pointers.filter("next > node").select("key", "node", "next"))
+    reached = heads.select("key", "node").distinct()
     while True:
         more = reached.join(jump, ["key", "node"]).select("key", F.col("next").alias("node"))
         reached = _cut(reached.union(more).distinct())
-        now = reached.count()
-        if now == count:
+        if jump.isEmpty():
             return reached
-        count = now
         far = jump.alias("b").select("key", F.col("node").alias("mid"), F.col("next").alias("far"))
-        jump = _cut(jump.withColumnRenamed("next", "mid").join(far, ["key", "mid"], "left").select("key", "node", F.col("far").alias("next")).filter("next is not null"))
+        jump = _cut(jump.withColumnRenamed("next", "mid").join(far, ["key", "mid"]).select("key", "node", F.col("far").alias("next")))
 
 
 def source_boundary(steps: DataFrame, edges: DataFrame) -> DataFrame:

@@ -35,6 +35,10 @@ VIEWS: dict[str, str] = {
                CASE p_partkey % 8 WHEN 0 THEN 'the' WHEN 1 THEN 'der' WHEN 2 THEN 'que' WHEN 3 THEN 'thonre' WHEN 4 THEN 'Erou' WHEN 5 THEN '' WHEN 6 THEN 'les' ELSE 'Nobody' END AS class_name,
                concat(p_brand, '/', p_type) AS root_equivalence_key, p_name AS derived_name
         FROM part""",
+    "v_name": """
+        SELECT p_partkey, p_name, p_type, CASE p_partkey % 9 WHEN 0 THEN 'submitOrder' WHEN 1 THEN '_onItemAdded' WHEN 2 THEN 'onCheckoutPressed' WHEN 3 THEN 'URLLoader' WHEN 4 THEN 'onClick' WHEN 5 THEN '__$'
+               WHEN 6 THEN concat('load_', replace(p_name, ' ', '$'), '2go') WHEN 7 THEN concat('__', replace(p_name, ' ', '_')) ELSE concat(p_type, 'Client') END AS name
+        FROM part""",
     "v_manifest": """
         SELECT entry_symbol_path AS entry, CASE WHEN p_partkey % 11 = 0 THEN 'excluded' ELSE 'pinned' END AS rule, concat('Pinned ', derived_name) AS pin_name
         FROM v_candidate WHERE p_partkey % 11 = 0 OR p_partkey % 7 = 0""",

@@ -264,7 +264,7 @@ def ordinal_check(v):
     return E.ordinals(v["v_turn"])
 
 
-_LAYER = "CASE suppkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 4 THEN 4 ELSE 7 END"
+_LAYER = "CASE WHEN suppkey % 6 < 5 THEN suppkey % 6 ELSE 7 END"
 
 
 @query("layer_order", "v_step", f"SELECT flow, ordinal, top AS below FROM (SELECT flow, ordinal, kind, {_LAYER} AS r, max({_LAYER}) OVER (PARTITION BY flow ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM v_step) WHERE r < top AND kind <> 'branch'")

@@ -24,9 +24,9 @@ def rename_detect(v):
     return I.renames(I.snapshot_delta(v["v_gen_a"], v["v_gen_b"]))
 
 
-@query("delta_flags", "v_gen_a v_gen_b v_path", "SELECT true AS membership, bool_or(page_id % 9 = 7) AS resolution, bool_or(page_id % 9 IN (3, 4, 5)) AS index, false AS configuration FROM v_path WHERE page_id % 9 <> 1")
+@query("delta_flags", "v_gen_a v_gen_b v_path", "SELECT true AS membership, bool_or(page_id % 9 = 7) AS resolution, bool_or(page_id % 9 IN (3, 4, 5)) AS index, false AS configuration FROM v_path")
 def delta_flags(v):
-    p = v["v_path"].filter("page_id % 9 <> 1").select("path", F.lit("c").alias("content_id"))
+    p = v["v_path"].select("path", F.lit("c").alias("content_id"))
     return I.delta_flags(I.snapshot_delta(p.limit(0), p))
 
 
@@ -218,7 +218,7 @@ def coalesce(v):
 WITH b AS (SELECT *, CASE WHEN source = 'other' THEN 'source' WHEN kind = 'error' THEN 'kind' END AS bad FROM v_change)
 SELECT seq, coalesce(bad, CASE WHEN version <= max(CASE WHEN bad IS NULL THEN version END) OVER (PARTITION BY path ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 'stale' END) AS reason FROM b""")
 def versioned_ingest(v):
-    return K.versioned_ingest(v["v_change"]).select("seq", "reason")
+    return K.versioned_ingest(v["v_change"], kinds=("click", "view", "purchase", "signup")).select("seq", "reason")
 
 
 @query("batch_idempotent", "v_change", """

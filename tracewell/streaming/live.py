@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tracewell.streaming.twins import CHANGE_KINDS, CHANGE_SOURCES
+
 
 def coalesce_stream(events: DataFrame, quiet: float, max_wait: float, late: str = "0 seconds") -> DataFrame:
     """The stream twin of ``twins.coalesce`` over (key, seq, ts): a burst is emitted when its timer passes the watermark or its next event comes."""
@@ -35,9 +37,8 @@ def coalesce_stream(events: DataFrame, quiet: float, max_wait: float, late: str
     return marked.groupBy("key").applyInPandasWithState(run, "key long, seq long, emit_at double", "first double, last double, seq long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def ingest_stream(changes: DataFrame) -> DataFrame:
+def ingest_stream(changes: DataFrame, kinds: Sequence[str] = CHANGE_KINDS, sources: Sequence[str] = CHANGE_SOURCES) -> DataFrame:
     """The stream twin of ``twins.versioned_ingest``: (path, seq, reason) by the current version of each path."""
-    kinds, sources = {"click", "view", "purchase", "signup"}, {"watcher", "editor", "agent"}
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         current = state.get[0] if state.exists else None

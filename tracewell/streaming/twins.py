@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,21 +18,26 @@ def coalesce(events: DataFrame, quiet: float, max_wait: float) -> DataFrame:
     """
     w = Window.partitionBy("key").orderBy("t", "seq")
     rows = events.select("key", "seq", "t").withColumn("node", F.row_number().over(w).cast("long")).withColumn("gap", F.col("t") - F.lag("t").over(w))
-    ahead = Window.partitionBy("key").orderBy("node").rowsBetween(1, Window.unboundedFollowing)
+    # Frames run backwards from the end, so each row adds one value to what is known.
+    ahead = Window.partitionBy("key").orderBy(F.desc("node")).rowsBetween(Window.unboundedPreceding, -1)
     micros = F.round(F.col("t") * 1_000_000).cast("long")
-    later = Window.partitionBy("key").orderBy(micros).rangeBetween(round(max_wait * 1_000_000), Window.unboundedFollowing)
-    rows = rows.withColumn("next", F.least(F.min(F.when(F.col("gap") >= quiet, F.col("node"))).over(ahead), F.min("node").over(later)))
+    ends = rows.select("key", "node", micros.alias("at"), F.lit(0).alias("asks")).union(rows.select("key", "node", micros + round(max_wait * 1_000_000), F.lit(1)))
+    later = Window.partitionBy("key").orderBy(F.desc("at"), "asks", F.desc("node")).rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.withColumn("late", F.min(F.when(F.col("asks") == 0, F.col("node"))).over(later)).filter("asks = 1").select("key", "node", "late")
+    rows = rows.withColumn("soon", F.min(F.when(F.col("gap") >= quiet, F.col("node"))).over(ahead)).join(ends, ["key", "node"]).withColumn("next", F.least("soon", "late")).drop("soon", "late")
     first = rows.filter("node = 1").select("key", "node")
     starts = chain_walk(rows, first).join(rows.select("key", "node", "next", F.col("t").alias("t0")), ["key", "node"])
-    ends = rows.groupBy("key").agg(F.max("node").alias("last"))
-    starts = starts.join(ends, "key").select("key", "t0", F.coalesce(F.col("next") - 1, F.col("last")).alias("node"))
+    starts = starts.join(rows.groupBy("key").agg(F.max("node").alias("last")), "key").select("key", "t0", F.coalesce(F.col("next") - 1, F.col("last")).alias("node"))
     return starts.join(rows, ["key", "node"]).select("key", "seq", F.least(F.col("t") + quiet, F.col("t0") + max_wait).alias("emit_at"))
 
 
-def versioned_ingest(changes: DataFrame) -> DataFrame:
+#: Kinds and sources of changes that are taken unless a caller names others.
+CHANGE_KINDS, CHANGE_SOURCES = ("created", "modified", "deleted", "renamed"), ("watcher", "editor", "agent")
+
+
+def versioned_ingest(changes: DataFrame, kinds: Sequence[str] = CHANGE_KINDS, sources: Sequence[str] = CHANGE_SOURCES) -> DataFrame:
     """``changes`` (path, seq, version, source, kind) with reason: null where accepted. Rejected ones never exceed the current version."""
-    kinds, sources = ["click", "view", "purchase", "signup"], ["watcher", "editor", "agent"]
-    bad = F.when(~F.col("source").isin(sources), "source").when(~F.col("kind").isin(kinds), "kind")
+    bad = F.when(~F.col("source").isin(*sources), "source").when(~F.col("kind").isin(*kinds), "kind")
     current = F.max(F.when(bad.isNull(), F.col("version"))).over(Window.partitionBy("path").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
     return changes.withColumn("reason", F.coalesce(bad, F.when(F.col("version") <= current, "stale")))
 
@@ -87,7 +94,7 @@ def pointer_chain(requests: DataFrame) -> DataFrame:
     """(key, seq): accepted requests (key, seq, generation, expected): each expects its accepted predecessor, or ``*``; the first needs empty or ``*``."""
     after = requests.select("key", F.col("seq").alias("s"), F.col("expected").alias("generation"))
     exact = requests.select("key", "seq", "generation").join(after, ["key", "generation"]).filter("s > seq").groupBy("key", "seq").agg(F.min("s").alias("exact"))
-    stars = F.min(F.when(F.col("expected") == "*", F.col("seq"))).over(Window.partitionBy("key").orderBy("seq").rowsBetween(1, Window.unboundedFollowing))
+    stars = F.min(F.when(F.col("expected") == "*", F.col("seq"))).over(Window.partitionBy("key").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1))
     rows = requests.withColumn("star", stars).join(exact, ["key", "seq"], "left").select("key", F.col("seq").alias("node"), F.least("exact", "star").alias("next"))
     heads = requests.filter("expected in ('', '*')").groupBy("key").agg(F.min("seq").alias("node"))
     return chain_walk(rows, heads).select("key", F.col("node").alias("seq"))
