@@ -3,6 +3,7 @@
 import hashlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from tracewell.llm import line_dedup, ngram_join, substring_dedup
@@ -103,48 +104,41 @@ def lines_of(text):
     return [] if text is None else text.split("\n")
 
 
-def lines_removed(order, rare_df, min_words):
-    """Each later document aligned with each partner, straight from the definition."""
-    holders = defaultdict(list)
-    sets = []
-    for d, (_, t) in enumerate(order):
-        own = [b" ".join(x.encode().split(b" ")).strip(b" \t\v\f\r") for x in lines_of(t)]
-        sets.append(own)
-        for x in {x for x in own if x.split()}:
-            holders[x].append(d)
+def lines_removed(order, min_words=8):
+    """Lines of each text in a block of consecutive lines, of min_words or more, that any earlier text has; by comparing every pair."""
+    sets = [[x.strip(" \t\x0b\x0c\r") for x in lines_of(t)] for _, t in order]
+    sizes = [[len(x.encode().split()) for x in own] for own in sets]
     gone = defaultdict(set)
-    for d in range(len(order)):
-        partners = set()
-        for x in {x for x in sets[d] if x.split()}:
-            h = [e for e in holders[x] if e < d]
-            if h:
-                partners |= set(h) if len(holders[x]) <= rare_df else {holders[x][0]}
-        ids = {x: n for n, x in enumerate({y for s in (d, *partners) for y in sets[s]})}
-        for e in partners:
-            sizes = [len(x.split()) for x in sets[d]]
-            gone[d].update(line_dedup.deleted([ids[x] for x in sets[e]], [ids[x] for x in sets[d]], sizes, min_words))
+    for d, late in enumerate(sets):
+        for early in sets[:d]:
+            if not set(early) & set(late) - {""}:
+                continue
+            before = [0] * (len(early) + 1)
+            for j, x in enumerate(late):
+                row = [0] * (len(early) + 1)
+                for i, y in enumerate(early):
+                    if x == y:
+                        row[i + 1] = before[i] + 1
+                before, longest = row, max(row)
+                if sum(sizes[d][j + 1 - longest : j + 1]) >= min_words:
+                    gone[d].update(range(j + 1 - longest, j + 1))
     return gone
 
 
 def test_lines(spark, messy, messy_rows):
     prints = {t: p for t, p in spark.createDataFrame([(t,) for _, t in messy_rows], "t string").selectExpr("t", "xxhash64(t)").collect()}
     order = sorted(set(messy_rows), key=lambda r: (LAST if r[0] is None else r[0], prints[r[1]]))
-    gone = lines_removed(order, 8, 8)
+    gone = lines_removed(order)
     got = {(r.row.doc_id, r.row.text): (r.n_lines, r.n_removed, r.kept) for r in line_dedup.remove_lines(messy).collect()}
     total = 0
     for d, (i, t) in enumerate(order):
         all_ = lines_of(t)
-        kept = t if not gone[d] else "\n".join(x for n, x in enumerate(all_) if n not in gone[d])
+        kept = t if not gone[d] else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[d])
         assert got[i, t] == (len(all_), len(gone[d]), kept)
         total += len(gone[d])
     assert total > 20 and line_dedup.remove_lines(messy).count() == len(messy_rows)
 
 
-def all_earlier(rows):
-    """Lines removed where each document is aligned with every earlier one."""
-    return lines_removed(rows, len(rows), 8)
-
-
 @pytest.mark.parametrize("hot", [15, 1000])
 def test_blocks_of_frequent_lines_whose_first_holders_differ(spark, monkeypatch, hot):
     monkeypatch.setattr(line_dedup, "HOT_DF", hot)
@@ -154,26 +148,50 @@ def test_blocks_of_frequent_lines_whose_first_holders_differ(spark, monkeypatch,
     rows += [(i, f"top {i}\n{a}\n\n{b}\n{c}\nend {i}") for i in range(10, 30)]
     rows += [(i, f"top {i}\n{a}\n{b}\nend {i}\n{c}") for i in range(30, 50)]
     rows += [(i, f"top {i}\n{long[1]}\n{long[0]}\nend {i}") for i in range(50, 70)]
-    gone = all_earlier(rows)
+    rows += [(i, f"top {i}\n{c}\n{b}\nmid {i}\n{b}\n{c}\n{b}\n{c}") for i in range(70, 90)]
+    gone = lines_removed(rows)
     got = {r.row.doc_id: r.n_removed for r in line_dedup.remove_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: len(gone[d]) for d, (i, _) in enumerate(rows)}
-    assert [got[i] for i in (10, 11, 29, 30, 31, 51)] == [0, 4, 4, 0, 2, 2]
+    assert [got[i] for i in (10, 11, 29, 30, 31, 51, 71)] == [0, 4, 4, 0, 2, 2, 6]
 
 
-def test_each_line_of_a_common_block_is_in_a_common_run():
+@pytest.mark.parametrize("seed", range(4))
+def test_random_lines_against_every_pair(spark, seed):
+    """Few different lines, blank ones among them, in every order: moved and repeated blocks of rare and frequent lines."""
     import random
 
-    import numpy as np
+    rng = random.Random(seed)
+    lines = ["", " "] + [" ".join(f"v{n}x{k}" for k in range(rng.randint(1, 5))) for n in range(12)]
+    passages = [[rng.choice(lines) for _ in range(rng.randint(2, 9))] for _ in range(8)]
+    rows = []
+    for i in range(70):
+        own = [rng.choice(lines) if rng.random() < 0.4 else f"only {i} {n}" for n in range(rng.randint(0, 8))]
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randint(0, len(own))
+            own[at:at] = rng.choice(passages)
+        rows.append((i, "\n".join(own)))
+    gone = lines_removed(rows)
+    got = {r.row.doc_id: (r.n_removed, r.kept) for r in line_dedup.remove_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, (i, t) in enumerate(rows):
+        assert got[i] == (len(gone[d]), "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[d]))
+
+
+def test_given_documents_against_every_pair(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    gone = lines_removed(rows)
+    got = {r.row.doc_id: r.n_removed for r in line_dedup.remove_lines(docs).collect()}
+    assert got == {i: len(gone[d]) for d, (i, _) in enumerate(rows)}
+
+
+def test_a_text_of_very_many_lines(spark):
+    import time
 
-    rng = random.Random(5)
-    for _ in range(200):
-        block = [rng.randint(1, 9) for _ in range(rng.randint(1, 9))]
-        a, b = ([rng.randint(1, 9) for _ in range(rng.randint(0, 5))] + block + [rng.randint(1, 9) for _ in range(rng.randint(0, 5))] for _ in range(2))
-        runs = [line_dedup.run_hashes(np.array(x), np.array([n % 4 for n in x]), np.arange(1, 10), 8) for x in (a, b)]
-        if sum(n % 4 for n in block) >= 8:
-            assert set(runs[0]) & set(runs[1])
-            own = line_dedup.run_hashes(np.array(block), np.array([n % 4 for n in block]), np.arange(1, 10), 8)
-            assert set(own) <= set(runs[0]) & set(runs[1])
+    text = "\n".join(f"line {n % 60_000} of many" for n in range(200_000))
+    docs = spark.createDataFrame([(1, text), (2, "x\n" + text)], "doc_id long, text string")
+    began = time.time()
+    got = {r.row.doc_id: (r.n_removed, r.kept) for r in line_dedup.remove_lines(docs).collect()}
+    assert got == {1: (0, text), 2: (200_000, "x")} and time.time() - began < 120
 
 
 def lcs(a, b):
@@ -203,8 +221,9 @@ def test_a_gap_without_unique_lines_is_aligned(monkeypatch):
 
     passage = list(range(100, 106))
     early, late = [1, *passage, 2, *passage, 3], [4, *passage, 5]
-    assert line_dedup.deleted(early, late, [3] * 8, 8) == [1, 2, 3, 4, 5, 6]
-    assert line_dedup.deleted(late, early, [3] * 15, 8) in ([1, 2, 3, 4, 5, 6], [8, 9, 10, 11, 12, 13])
+    assert line_dedup.aligned(early, late, [3] * 8, 8) == [1, 2, 3, 4, 5, 6]
+    assert line_dedup.aligned(late, early, [3] * 15, 8) in ([1, 2, 3, 4, 5, 6], [8, 9, 10, 11, 12, 13])
+    assert line_dedup.deleted(np.array(late), np.array(early), np.full(15, 3), 8).tolist() == [1, 2, 3, 4, 5, 6, 8, 9, 10, 11, 12, 13]
     rng = random.Random(8)
     for bits in (line_dedup.MAX_BITS, 20):
         monkeypatch.setattr(line_dedup, "MAX_BITS", bits)
