@@ -93,7 +93,7 @@ def test_search_of_nothing(spark, empty, messy):
     assert bm25.search(bm25.build(messy), q.limit(0)).collect() == []
 
 
-def test_scores(messy, messy_rows, monkeypatch):
+def test_scores(spark, messy, messy_rows, monkeypatch):
     monkeypatch.setattr(interpolation, "BATCH_TOKENS", 2000)
     role = lambda i: 0 if i is None else {1: 2, 2: 1}.get(zlib.crc32(str(i).encode()) % 5, 0)
     tokens = [(i, [*words(t), "END"]) for i, t in messy_rows]
@@ -108,13 +108,22 @@ def test_scores(messy, messy_rows, monkeypatch):
 
     cell = Counter()
     start_m, start = sum(1 for i, _ in tokens if role(i) == 0), sum(1 for i, _ in tokens if role(i) < 2)
-    code = lambda p: int(np.rint(4 * np.log2(p))) if p > 0 else -10_000
     for i, x in tokens:
         if role(i) == 1:
             for h, w in zip(["START", *x], x, strict=False):
                 b, p2, p1 = parts(uni_m, bi_m, start_m, main, h, w)
-                cell[b, code(p2), code(p1)] += 1
-    weights = interpolation.learn_weights(np.array([(*k, n) for k, n in sorted(cell.items())], np.int64), uniform)
+                cell[int(b), p2, p1] += 1
+    rows = [(*k, n) for k, n in sorted(cell.items())]
+    weights = interpolation.learn_weights(spark.createDataFrame(rows, interpolation.CELLS), uniform)
+    ours = best = 0.0
+    for b in {r[0] for r in rows}:  # the unrounded likelihood, by many rounds of plain EM
+        p, n = np.array([(p2, p1, uniform) for c, p2, p1, _ in rows if c == b]), np.array([r[3] for r in rows if r[0] == b])
+        w = np.array([0.3, 0.5, 0.2])
+        for _ in range(3000):
+            share = p * w
+            w = (share / share.sum(axis=1, keepdims=True) * n[:, None]).sum(axis=0) / n.sum()
+        ours, best = ours + n @ np.log(p @ weights[b]), best + n @ np.log(p @ w)
+    assert best - 1e-3 * sum(cell.values()) <= ours <= best + 1e-6 * sum(cell.values())
     want = []
     for i, x in tokens:
         base = score = 0.0
@@ -128,14 +137,21 @@ def test_scores(messy, messy_rows, monkeypatch):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-4)
 
 
-def test_weights_are_the_likeliest():
+def test_weights_are_the_likeliest(spark):
     rng = np.random.default_rng(0)
-    cell = np.array([(3, -int(rng.integers(0, 40)), -int(rng.integers(20, 60)), int(rng.integers(1, 50))) for _ in range(40)], np.int64)
-    w = interpolation.learn_weights(cell, 1e-6, 400)[3]
-    p = np.stack([2.0 ** (cell[:, 1] / 4), 2.0 ** (cell[:, 2] / 4), np.full(40, 1e-6)], 1)
-    value = lambda x: (cell[:, 3] * np.log(p @ x)).sum()
+    cell = [(3, float(2.0 ** -rng.uniform(0, 10)), float(2.0 ** -rng.uniform(5, 15)), int(rng.integers(1, 50))) for _ in range(40)]
+    weights = interpolation.learn_weights(spark.createDataFrame(cell, interpolation.CELLS), 1e-6)
+    p, n = np.array([(a, b, 1e-6) for _, a, b, _ in cell]), np.array([c[3] for c in cell])
+    value = lambda x: (n * np.log(p @ x)).sum()
     for other in rng.dirichlet([1, 1, 1], 200):
-        assert value(w) >= value(other) - 1e-3
+        assert value(weights[3]) >= value(other) - 1e-3 * n.sum()
+    assert (weights[4:] == weights[3]).all() and np.allclose(weights.sum(axis=1), 1)
+
+
+def test_sorted_values_travel_by_their_differences():
+    x = np.sort(np.random.default_rng(1).integers(0, 2**64, 1000, dtype=np.uint64))
+    for own in (x, x[:1], x[:0], np.array([0, 0, 2**64 - 1], np.uint64)):
+        assert (interpolation.expand_sorted(interpolation.squeeze_sorted(own), len(own)) == own).all()
 
 
 def test_score_of_nothing(empty):

@@ -4,7 +4,8 @@ A word's probability mixes the maximum-likelihood estimates of its bigram and
 its unigram with a uniform share; the weights depend on how often the context
 was seen (buckets of powers of two) and are learned by expectation
 maximisation on counts of training documents that were held out of the
-estimates.
+estimates. Each round of it is one aggregate in Spark over those counts; the
+driver gets a sum for each bucket.
 
 Counts are exchanged in packed form: a batch of documents sends each distinct
 gram's hash once, with its number, to the partition of that hash, and gets the
@@ -34,15 +35,17 @@ MAIN, DEV, HELD = 0, 1, 2
 BATCH_TOKENS = 1_000_000
 #: Hash partitions: one for so many bytes of text.
 PARTITION_TEXT = 16 << 20
-#: Steps of an octave to which held-out probabilities are rounded for the weights; rounds of EM.
-STEPS, ROUNDS = 4, 60
+#: Rounds of EM, at most; it ends when no weight moves by more than this.
+ROUNDS, STILL = 30, 5e-4
+#: Buckets of context counts: 0, and one for each power of two.
+BUCKETS = 65
 END, START = np.uint64(0x1D8AF07C5E3B9642), np.uint64(0x7A60E1C94F25D38B)
 
 BATCHES = "batch long, role int, doc_ids array<long>, sizes array<int>, vocabulary binary, codes binary"
 BLOCKS = "part int, batch long, kind int, grams binary"
-COUNTS = "batch long, kind int, part int, counts binary"
+COUNTS = "batch long, role int, kind int, part int, counts binary, words long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-CELLS = "bucket int, bi int, uni int, n long"
+CELLS = "bucket int, bi double, uni double, n long"
 
 
 def squeeze(x: np.ndarray) -> bytes:
@@ -53,6 +56,15 @@ def expand(data: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
+def squeeze_sorted(x: np.ndarray) -> bytes:
+    """Ascending 64-bit values by their differences, byte by byte: the upper bytes are mostly 0."""
+    return squeeze(np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+
+
+def expand_sorted(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(expand(data, np.uint8).reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def batches_of(docs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, role, text) to BATCHES, each of one role; a token is a code of the batch's own vocabulary."""
     open_: dict[int, list] = {MAIN: [], DEV: [], HELD: []}
@@ -120,10 +132,10 @@ class Tokens:
 
 
 def order_of(grams: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Grams dealt to partitions: their order, and where each partition begins in it."""
-    part = (grams >> np.uint64(20)) % np.uint64(parts)
-    order = np.argsort(part, kind="stable")
-    return order, np.searchsorted(part[order], np.arange(parts + 1))
+    """Grams in ascending order, dealt to partitions by ranges: their order, and where each partition begins in it."""
+    order = np.argsort(grams)
+    part = ((grams[order] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    return order, np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
 
 
 def send(parts: int):
@@ -136,32 +148,33 @@ def send(parts: int):
                 for kind in (1, 2):
                     grams, numbers = tokens.grams(kind), tokens.numbers(kind).astype(np.uint32)
                     order, edge = order_of(grams, parts)
-                    out = [(p, row["batch"], kind, struct.pack("<II", row["role"], b - a) + grams[order[a:b]].tobytes() + squeeze(numbers[order[a:b]])) for p, (a, b) in enumerate(zip(edge, edge[1:], strict=False)) if b > a]
+                    out = []
+                    for p, (a, b) in enumerate(zip(edge, edge[1:], strict=False)):
+                        if b > a:
+                            own = squeeze_sorted(grams[order[a:b]])
+                            out.append((p, row["batch"], kind, struct.pack("<III", row["role"], b - a, len(own)) + own + squeeze(numbers[order[a:b]])))
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["part", "batch", "kind", "grams"])
 
     return run
 
 
 def add_up(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """BLOCKS of whole partitions to COUNTS in the order of the grams sent: [main, all training]; a batch of -1 reports the number of words in training."""
+    """BLOCKS of whole partitions to COUNTS in the order of the grams sent: [main, all training]; words is the number of a partition's words in training, once."""
     held: dict[tuple[int, int], list] = {}
     for batch in rows:
         for part, own, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            role, n = struct.unpack_from("<II", data)
-            held.setdefault((part, kind), []).append((own, role, np.frombuffer(data, np.uint64, n, 8), expand(data[8 + 8 * n :], np.uint32)))
-    out = []
-    for (part, kind), blocks in held.items():
-        grams, inverse = np.unique(np.concatenate([b[2] for b in blocks]), return_inverse=True)
-        size = [len(b[2]) for b in blocks]
-        numbers = np.concatenate([b[3] for b in blocks])
-        role = np.repeat([b[1] for b in blocks], size)
+            held.setdefault((part, kind), []).append((own, data))
+    for part, kind in list(held):
+        blocks = [(own, *struct.unpack_from("<III", data), data) for own, data in held.pop((part, kind))]
+        grams, inverse = np.unique(np.concatenate([expand_sorted(data[12 : 12 + size], n) for _, _, n, size, data in blocks]), return_inverse=True)
+        numbers = np.concatenate([expand(data[12 + size :], np.uint32) for *_, size, data in blocks])
+        lengths = [b[2] for b in blocks]
+        role = np.repeat([b[1] for b in blocks], lengths)
         main = np.bincount(inverse, numbers * (role == MAIN), len(grams)).astype(np.uint64)
         both = np.bincount(inverse, numbers * (role != HELD), len(grams)).astype(np.uint64)
-        edge = np.cumsum(size)
-        out += [(own, kind, part, squeeze(np.stack([main[inverse[b - n : b]], both[inverse[b - n : b]]]))) for (own, *_), n, b in zip(blocks, size, edge, strict=True)]
-        if kind == 1:
-            out.append((-1, kind, part, struct.pack("<Q", int((both[grams != START] > 0).sum()))))
-    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["batch", "kind", "part", "counts"])
+        words = [int((both[grams != START] > 0).sum()) if kind == 1 else 0] + [0] * (len(blocks) - 1)
+        out = [(b[0], b[1], kind, part, squeeze(np.stack([main[inverse[e - n : e]], both[inverse[e - n : e]]])), w) for b, n, e, w in zip(blocks, lengths, np.cumsum(lengths), words, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64()))], names=["batch", "role", "kind", "part", "counts", "words"])
 
 
 def counted(row: dict, parts: int) -> tuple[Tokens, dict[int, np.ndarray]]:
@@ -191,43 +204,43 @@ def estimates(tokens: Tokens, found: dict[int, np.ndarray], which: int, total: i
 
 
 def cells(parts: int, total: int):
-    """mapInArrow over held-out batches: how often each (bucket, rounded estimates) occurs; -10000 stands for 0."""
-
-    def rounded(p: np.ndarray) -> np.ndarray:
-        return np.where(p > 0, np.rint(STEPS * np.log2(np.maximum(p, 1e-300))), -10_000).astype(np.int64)
+    """mapInArrow over held-out batches: how often each (bucket, estimates) occurs in each."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for row in batch.to_pylist():
                 bucket, bi, uni = estimates(*counted(row, parts), 0, total)
-                keys, n = np.unique(np.stack([bucket, rounded(bi), rounded(uni)]), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()) for x in keys] + [pa.array(n, pa.int64())], names=["bucket", "bi", "uni", "n"])
+                order = np.lexsort((uni, bi, bucket))
+                bucket, bi, uni = bucket[order], bi[order], uni[order]
+                at = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (bi[1:] != bi[:-1]) | (uni[1:] != uni[:-1])]))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), pa.array(bi[at]), pa.array(uni[at]), pa.array(np.diff(np.append(at, len(order))))], names=["bucket", "bi", "uni", "n"])
 
     return run
 
 
-def learn_weights(cell: np.ndarray, uniform: float, rounds: int = ROUNDS) -> np.ndarray:
-    """EM: a row (bigram, unigram, uniform) for each bucket, from rows (bucket, bi, uni, n).
+def learn_weights(cell: DataFrame, uniform: float, rounds: int = ROUNDS) -> np.ndarray:
+    """EM over all of ``cell`` (CELLS): a row (bigram, unigram, uniform) for each bucket.
 
     A bucket without held-out tokens has the weights of the one below.
     """
-    most = 65
-    weights = np.tile([0.3, 0.6, 0.1], (most, 1))
+    weights = np.tile([0.3, 0.6, 0.1], (BUCKETS, 1))
     weights[0] = [0.0, 0.8, 0.2]
-    for b in range(most):
-        own = cell[cell[:, 0] == b] if len(cell) else cell
-        if not len(own):
-            if b > 1:
-                weights[b] = weights[b - 1]
-            continue
-        p = np.stack([np.where(own[:, 1] > -10_000, 2.0 ** (own[:, 1] / STEPS), 0), np.where(own[:, 2] > -10_000, 2.0 ** (own[:, 2] / STEPS), 0), np.full(len(own), uniform)], axis=1)
-        w = weights[b]
-        for _ in range(rounds):
-            share = p * w
-            share /= share.sum(axis=1, keepdims=True)
-            w = (share * own[:, 3:4]).sum(axis=0) / own[:, 3].sum()
-        w = np.maximum(w, [0.0, 1e-6, 1e-6])
-        weights[b] = w / w.sum()
+    seen: set[int] = set()
+    for _ in range(rounds):
+        now = cell.sparkSession.createDataFrame([(b, *map(float, w)) for b, w in enumerate(weights)], "bucket int, a double, b double, c double")
+        share = cell.join(F.broadcast(now), "bucket").select("bucket", "n", F.expr("a * bi").alias("x"), F.expr("b * uni").alias("y"), F.expr(f"c * {uniform!r}D").alias("z"))
+        sums = share.groupBy("bucket").agg(*(F.sum(F.expr(f"n * {k} / (x + y + z)")).alias(k) for k in "xyz"), F.sum("n").alias("n")).collect()
+        moved = 0.0
+        for r in sums:
+            old, own = weights[r["bucket"]].copy(), np.maximum(np.array([r["x"], r["y"], r["z"]]) / r["n"], [0.0, 1e-6, 1e-6])
+            weights[r["bucket"]] = own / own.sum()
+            moved = max(moved, float(np.abs(weights[r["bucket"]] - old).max()))
+        seen |= {r["bucket"] for r in sums}
+        if moved <= STILL:
+            break
+    for b in range(2, BUCKETS):
+        if b not in seen:
+            weights[b] = weights[b - 1]
     return weights
 
 
@@ -249,16 +262,20 @@ def score(docs: DataFrame) -> DataFrame:
     table = save(docs.mapInArrow(batches_of, BATCHES), "batches")
     blocks = save(table.mapInArrow(send(parts), BLOCKS).repartition(parts, "part").mapInArrow(add_up, COUNTS), "counts")
 
-    sums = table.groupBy("role").agg(F.sum(F.expr("aggregate(sizes, 0L, (s, x) -> s + x)")).alias("n")).collect()
-    total = {r["role"]: r["n"] for r in sums}
+    sums = table.groupBy("role").agg(F.sum(F.expr("aggregate(sizes, 0L, (s, x) -> s + x)")).alias("n"), F.count("*").alias("batches")).collect()
+    total, batches = {r["role"]: r["n"] for r in sums}, {r["role"]: r["batches"] for r in sums}
     main, train = total.get(MAIN, 0), total.get(MAIN, 0) + total.get(DEV, 0)
-    # One number for each hash partition.
-    distinct = sum(struct.unpack("<Q", r[0])[0] for r in blocks.filter("batch = -1").select("counts").collect())
-    back = blocks.filter("batch >= 0").groupBy("batch").agg(F.collect_list(F.struct("kind", "part", "counts")).alias("blocks"))
+    distinct = blocks.agg(F.sum("words")).first()[0] or 0
     uniform = 1 / (distinct + 1)
-    dev = table.filter(F.col("role") == DEV).join(back, "batch").select(*table.columns, "blocks")
-    found = dev.mapInArrow(cells(parts, main), CELLS).groupBy("bucket", "bi", "uni").agg(F.sum("n").alias("n")).toPandas()
-    weights = learn_weights(found.to_numpy(np.int64), uniform)
+
+    def with_counts(own: DataFrame, counts: DataFrame, n: int) -> DataFrame:
+        """Each batch with its counts; about one batch a task."""
+        back = counts.select("batch", "kind", "part", "counts").repartition(max(1, n), "batch").groupBy("batch").agg(F.collect_list(F.struct("kind", "part", "counts")).alias("blocks"))
+        return own.repartition(max(1, n), "batch").join(back, "batch").select(*table.columns, "blocks")
+
+    dev = F.col("role") == DEV
+    cell = save(with_counts(table.filter(dev), blocks.filter(dev), batches.get(DEV, 0)).mapInArrow(cells(parts, main), CELLS), "cells")
+    weights = learn_weights(cell, uniform)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -274,4 +291,4 @@ def score(docs: DataFrame) -> DataFrame:
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([row["role"] == HELD] * n), pa.array(row["sizes"], pa.int64()), pa.array(np.add.reduceat(seen > 0, first, dtype=np.int64)), pa.array([train] * n, pa.int64()), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(mixed, first))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return table.join(back, "batch").select(*table.columns, "blocks").mapInArrow(run, SCORES)
+    return with_counts(table, blocks, sum(batches.values())).mapInArrow(run, SCORES)
