@@ -32,9 +32,9 @@ from tracewell.llm.store import save
 #: Roles of documents: in the estimates; for the weights; scored only.
 MAIN, DEV, HELD = 0, 1, 2
 #: Tokens of a batch, about.
-BATCH_TOKENS = 1_000_000
+BATCH_TOKENS = 500_000
 #: Hash partitions: one for so many bytes of text.
-PARTITION_TEXT = 16 << 20
+PARTITION_TEXT = 8 << 20
 #: Rounds of EM, at most; it ends when no weight moves by more than this.
 ROUNDS, STILL = 30, 5e-4
 #: Buckets of context counts: 0, and one for each power of two.

@@ -21,7 +21,7 @@ from tracewell.llm import measures as M
 from tracewell.llm import words as W
 
 #: Labelled documents for training, at most; chosen by a hash of the id.
-MAX_TRAIN_DOCS = 3_000
+MAX_TRAIN_DOCS, MAX_TRAIN_BYTES = 3_000, 1 << 20
 #: Rounds of training and the weight of its penalty.
 ROUNDS, PENALTY = 200, 1e-3
 THRESHOLD = 0.3
@@ -141,10 +141,18 @@ def train(lines: Lines, good: np.ndarray, rounds: int = ROUNDS, penalty: float =
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_DOCS) -> Crf:
-    """A field from at most ``most`` labelled documents, none with crc32(doc_id as text) divisible by 5."""
-    labels = labels.filter("quality in (0, 1) and crc32(cast(doc_id as string)) % 5 <> 0").select("doc_id", "quality").dropDuplicates(["doc_id"])
+    """A field from at most ``most`` labelled documents, none with crc32(doc_id as text) divisible by 5.
+
+    An id with labels of both kinds, a null id and a quality other than 0 and
+    1 teach nothing; repeated labels count once. Of rows that repeat an id,
+    the one with the smallest text teaches; texts of over MAX_TRAIN_BYTES
+    and empty ones don't, so what comes to the driver is bounded. Without
+    labels or documents all weights are 0.
+    """
+    labels = labels.filter("quality in (0, 1) and crc32(cast(doc_id as string)) % 5 <> 0").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).filter("quality = other").drop("other")
     some = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), "text").toArrow()
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.octet_length("text") <= MAX_TRAIN_BYTES).join(F.broadcast(some), "doc_id")
+    rows = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select(F.xxhash64("doc_id").alias("place"), "doc_id", "text", "quality").toArrow().sort_by([("place", "ascending"), ("doc_id", "ascending")])
     parts, good, base, first = [], [], 0, [0]
     for batch in rows.combine_chunks().to_batches():
         quality = np.asarray(batch.column("quality"))

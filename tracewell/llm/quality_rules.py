@@ -161,10 +161,18 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[Rule]:
-    """Rules from at most ``most`` labelled rows; only their counts come to the driver."""
-    labels = labels.filter("quality in (0, 1)").select("doc_id", "quality").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = measures(docs.join(F.broadcast(labels.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(labels), "doc_id").orderBy(F.xxhash64("doc_id"), *COUNTS)
-    data = rows.select(*(F.expr(x).alias(k) for k, x in RATIOS.items()), "quality").toPandas()
+    """Rules from at most ``most`` labelled ids; only their counts come to the driver.
+
+    An id with labels of both kinds, a null id and a quality other than 0 and
+    1 teach nothing; repeated labels count once. Of rows that repeat an id,
+    the one with the smallest counts teaches. Null and empty texts have counts
+    of 0. Without labels or documents there are no rules.
+    """
+    labels = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).filter("quality = other").drop("other")
+    labels = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = measures(docs.join(F.broadcast(labels.select("doc_id")), "doc_id", "left_semi")).groupBy("doc_id").agg(F.min(F.struct(*COUNTS)).alias("counts")).select("doc_id", "counts.*")
+    data = rows.join(F.broadcast(labels), "doc_id").select(F.xxhash64("doc_id").alias("place"), "doc_id", *(F.expr(x).alias(k) for k, x in RATIOS.items()), "quality").toPandas()
+    data = data.sort_values(["place", "doc_id"])  # at most as many rows as labels
     return learn({k: data[k].to_numpy(float) for k in RATIOS}, data["quality"].to_numpy() == 0)
 
 

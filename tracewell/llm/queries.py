@@ -55,7 +55,7 @@ def op6_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return interpolation.score(table(spark, sf_dir, "documents", rows=16))
+    return interpolation.score(table(spark, sf_dir, "documents", rows=8))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,7 +135,10 @@ class Writer:
 
 def frames(source, where: str) -> Iterator[tuple[int, bytes]]:
     """Offset and content of each frame after the dictionary's."""
-    magic, size = struct.unpack("<II", source.read(8))
+    head = source.read(8)
+    if len(head) < 8:
+        raise ValueError(f"{where}: shorter than a frame's header")
+    magic, size = struct.unpack("<II", head)
     if magic != DICTIONARY_FRAME:
         raise ValueError(f"{where}: no dictionary frame")
     stored = source.read(size)

@@ -116,11 +116,23 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit hashes of byte ranges in ascending order, by prefix sums of a polynomial.
 
     A hash depends on the range's bytes alone, so the sums are taken over
-    blocks of ranges, which keeps them small.
+    blocks of ranges, which keeps them small; a long range is summed block by
+    block.
     """
     out, i = np.empty(len(starts), np.uint64), 0
+    powers, _ = _tables(HASH_BLOCK)
     while i < len(starts):
+        if ends[i] - starts[i] > HASH_BLOCK:
+            total = 0
+            for a in range(int(starts[i]), int(ends[i]), HASH_BLOCK):
+                part = data[a : min(a + HASH_BLOCK, int(ends[i]))]
+                total += pow(_BASE, a - int(starts[i]), 2**64) * int((_VALUES[part] * powers[: len(part)]).sum())
+            out[i] = total % 2**64
+            i += 1
+            continue
+        long_ = np.flatnonzero(ends[i : i + HASH_BLOCK] - starts[i : i + HASH_BLOCK] > HASH_BLOCK)
         j = max(i + 1, int(np.searchsorted(starts, starts[i] + HASH_BLOCK)))
+        j = min(j, i + int(long_[0])) if len(long_) else j
         at, part = starts[i], data[starts[i] : ends[i:j].max()]
         powers, inverses = _tables(len(part) + 1)
         sums = np.zeros(len(part) + 1, np.uint64)
