@@ -4,6 +4,7 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracewell.llm import line_dedup, ngram_join, substring_dedup
@@ -96,6 +97,32 @@ def test_repeats_in_one_text_and_hash_ties(spark):
     assert got == {1: (61, 40), 2: (20, 20), 3: (45, 44)}
 
 
+def test_a_shared_header_is_dealt_by_windows(spark, monkeypatch):
+    """The windows across the edge of a header that most texts share have its minimisers, but differ."""
+    import random
+
+    rng = random.Random(9)
+    header, tail = (" ".join(f"{x}{i}" for i in range(25)) for x in "hm")
+    rows = [(i, f"{header} {' '.join(f'w{rng.randint(0, 40)}' for _ in range(30))} {tail}") for i in range(300)]
+    rows += [(1000 + i, f"x{i} {rows[i][1]}") for i in range(0, 300, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = {i: v for (i, _), v in windows_removed(rows, rows).items()}
+    sizes = {}
+    for hot in (10**9, 50):
+        monkeypatch.setattr(substring_dedup, "HOT_WINDOWS", hot)
+        monkeypatch.setattr(substring_dedup, "HOT_SHARE", 2)
+        got = {r.row.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(docs).collect()}
+        assert got == want
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([0] * len(rows)), pa.array([r[1] for r in rows])], names=["k", "fp", "text"])
+    for hot, extra in ([], 1), (list(range(8)), 16):
+        for block in substring_dedup.super_kmers(20, 3, 8, hot, extra)(iter([batch])):
+            for bucket, n, words in zip(*(block.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
+                if words is not None:
+                    assert (bucket >= 8) == bool(hot)
+                    sizes[len(hot), bucket] = sizes.get((len(hot), bucket), 0) + n
+    assert len([b for h, b in sizes if h]) == 16 and max(n for (h, _), n in sizes.items() if h) < 3 * sum(n for (h, _), n in sizes.items() if h) / 16
+
+
 def test_windows_of_nothing(empty):
     assert substring_dedup.remove_repeats(empty).collect() == [] and line_dedup.remove_lines(empty).collect() == []
 

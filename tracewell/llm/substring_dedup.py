@@ -9,12 +9,15 @@ Hashes only bring equal windows next to each other; their words are compared.
 What goes from one chunk of rows to one bucket is a single compressed block.
 A window that a task has already met (earlier) is settled there and doesn't
 travel, so a passage that very many documents share reaches its partition
-once for each task and not once for each document.
+once for each task and not once for each document. A first pass counts the
+windows of each bucket; those of buckets with very many (where a third of all
+documents share a header, the windows across its edge differ, but have one
+minimiser) are dealt one by one, by a hash of the whole window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +27,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.llm import words as W
+from tracewell.llm.store import save
 
 WIDTH, GRAM = 20, 3
 #: Bytes of text that a bucket of windows should hold.
 BUCKET_BYTES = 12 << 20
 #: Bytes of text whose windows for one bucket travel as one block.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Windows that a task remembers, to settle later copies at once; beyond that they travel.
-MAX_REMEMBERED = 100_000
+MAX_REMEMBERED = 60_000
+
+#: A bucket is hot with so many times the mean number of windows, and at least so many.
+HOT_SHARE, HOT_WINDOWS = 8, 1_000_000
 
 BLOCKS = "bucket int, rows int, numbers binary, words binary"
 REMOVED = "k long, fp long, start long, n long"
@@ -86,24 +93,30 @@ def unpack(rows: int, numbers: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(expand(numbers), np.uint8).reshape(4, 8, rows).swapaxes(1, 2)).view(np.int64).reshape(4, rows)
 
 
-def super_kmers(width: int, gram: int, buckets: int):
-    """mapInArrow from (k, fp, text) to BLOCKS: runs of windows to compare (with words) and runs settled here (without)."""
+class SuperKmers:
+    """Runs of windows of one minimiser, of chunks of rows. Windows of ``hot`` buckets are runs of their own in one of ``extra`` more buckets."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, tuple] = {}
+    def __init__(self, width: int, gram: int, buckets: int, hot: Sequence[int] = (), extra: int = 1):
+        self.width, self.gram, self.buckets, self.extra = width, gram, buckets, extra
+        self.hot = np.zeros(buckets, bool)
+        self.hot[list(hot)] = True
+        self.seen: dict[bytes, tuple] = {}
+
+    def chunks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             ids, prints = (np.asarray(batch.column(i)) for i in (0, 1))
             for chunk in W.scan(batch.column(2), most=CHUNK_BYTES):
-                rows = list(one(chunk, ids, prints, seen))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "rows", "numbers", "words"])
+                yield self.one(chunk, ids, prints)
 
-    def one(chunk: W.Chunk, ids, prints, seen) -> Iterator[tuple]:
+    def one(self, chunk: W.Chunk, ids: np.ndarray, prints: np.ndarray) -> tuple:
+        """Columns k, fp, start, n of runs that are settled here; buckets, columns and words (places in the bytes) of the others, by bucket; the bytes."""
+        width, seen = self.width, self.seen
         hashed = W.span_hashes(chunk.data, chunk.starts, chunk.ends)
         text, starts, ends = canonical(chunk)
         good = W.grams_within(chunk.first, width)
         size = len(good)
         windows = W.gram_hashes(hashed, width)
-        least = W.sliding_min(W.gram_hashes(hashed, gram), width - gram + 1)
+        least = W.sliding_min(W.gram_hashes(hashed, self.gram), width - self.gram + 1)
         row = chunk.row_of_word()[:size]
         at = np.arange(size) - chunk.first[row]
         k, fp = ids[chunk.row + row], prints[chunk.row + row]
@@ -121,18 +134,48 @@ def super_kmers(width: int, gram: int, buckets: int):
         new = np.ones(size, bool)
         new[1:] = row[1:] != row[:-1]
         a, n = runs_of(good & gone, new)
-        if len(a):
-            yield pack(int(W.mix(k[a[:1]].view(np.uint64))[0] % np.uint64(buckets)), np.stack([k[a], fp[a], at[a], n]), None)
+        settled = np.stack([k[a], fp[a], at[a], n])
         new[1:] |= least[1:] != least[:-1]
         b, m = runs_of(good & ~gone, new)
-        bucket = (W.mix(least[b], 3) % np.uint64(buckets)).astype(np.int64)
+        bucket = (W.mix(least[b], 3) % np.uint64(self.buckets)).astype(np.int64)
+        hot = self.hot[bucket]
+        if hot.any():
+            each = np.repeat(b[hot] - (np.cumsum(m[hot]) - m[hot]), m[hot]) + np.arange(m[hot].sum())
+            b, m = np.concatenate([b[~hot], each]), np.concatenate([m[~hot], np.ones(len(each), m.dtype)])
+            bucket = np.concatenate([bucket[~hot], self.buckets + (W.mix(windows[each], 5) % np.uint64(self.extra)).astype(np.int64)])
         order = np.argsort(bucket, kind="stable")
         b, m, bucket = b[order], m[order], bucket[order]
-        cuts = list(zip(starts[b].tolist(), ends[b + m + width - 2].tolist(), strict=True))
-        edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(b) else []
-        for i, j in zip(edge, [*edge[1:], len(b)], strict=True):
-            s = slice(i, j)
-            yield pack(int(bucket[i]), np.stack([k[b[s]], fp[b[s]], at[b[s]], m[s]]), [raw[x:y] for x, y in cuts[i:j]])
+        return settled, bucket, np.stack([k[b], fp[b], at[b], m]), (starts[b], ends[b + m + width - 2]), raw
+
+
+def bucket_sizes(width: int, gram: int, buckets: int):
+    """mapInArrow from (k, fp, text) to (bucket, n): the windows that travel to each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, np.int64)
+        for _, bucket, numbers, *_ in SuperKmers(width, gram, buckets).chunks(batches):
+            total += np.bincount(bucket, numbers[3], buckets).astype(np.int64)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["bucket", "n"])
+
+    return run
+
+
+def super_kmers(width: int, gram: int, buckets: int, hot: Sequence[int] = (), extra: int = 1):
+    """mapInArrow from (k, fp, text) to BLOCKS: runs of windows to compare (with words) and runs settled here (without)."""
+
+    def blocks(settled: np.ndarray, bucket: np.ndarray, numbers: np.ndarray, places: tuple, raw: bytes) -> Iterator[tuple]:
+        if settled.shape[1]:
+            yield pack(int(W.mix(settled[0, :1].view(np.uint64))[0] % np.uint64(buckets)), settled, None)
+        cuts = list(zip(*(x.tolist() for x in places), strict=True))
+        edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
+        for i, j in zip(edge, [*edge[1:], len(bucket)], strict=True):
+            yield pack(int(bucket[i]), numbers[:, i:j], [raw[x:y] for x, y in cuts[i:j]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in SuperKmers(width, gram, buckets, hot, extra).chunks(batches):
+            rows = list(blocks(*found))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "rows", "numbers", "words"])
 
     return run
 
@@ -235,8 +278,13 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, carry:
     docs = docs.withColumn("fp", F.lit(0).cast("long") if docs.groupBy("k").count().filter("count > 1").isEmpty() else F.xxhash64("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 3 * size // BUCKET_BYTES)
-    blocks = docs.select("k", "fp", "text").mapInArrow(super_kmers(width, gram, buckets), BLOCKS)
-    found = blocks.repartition(max(1, buckets // 4), "bucket").mapInArrow(repeated(width), REMOVED)
+    texts = docs.select("k", "fp", "text")
+    sizes = save(texts.mapInArrow(bucket_sizes(width, gram, buckets), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "sizes")
+    mean = (sizes.agg(F.sum("n")).first()[0] or 0) / buckets
+    hot = sizes.filter(F.col("n") > max(HOT_WINDOWS, HOT_SHARE * mean)).collect()  # at most one bucket in HOT_SHARE
+    extra = max(1, -(-sum(r["n"] for r in hot) // max(HOT_WINDOWS, int(mean))))
+    blocks = texts.mapInArrow(super_kmers(width, gram, buckets, [r["bucket"] for r in hot], extra), BLOCKS)
+    found = blocks.repartition(max(1, (buckets + (extra if hot else 0)) // 4), "bucket").mapInArrow(repeated(width), REMOVED)
     found = found.groupBy("k", "fp").agg(F.collect_set(F.struct("start", "n")).alias("runs")).select("k", "fp", F.col("runs.start").alias("starts"), F.col("runs.n").alias("sizes"))
     done = docs.join(found, ["k", "fp"], "left").select("text", "row", "starts", "sizes")
     return done.mapInArrow(cut(width), T.StructType([docs.schema["row"], *T.StructType.fromDDL("n_words long, n_removed long, kept string")]))
