@@ -38,6 +38,10 @@ def artifact_ref(content: Column) -> Column:
 
 
 def joined_hash(item: Column, *order: Column) -> Column:
-    """An aggregate: SHA-256 of all items of a group, in the given order."""
+    """An aggregate: SHA-256 of all items of a group, in the given order.
+
+    The items of one group (a repository's lines of path and hash, about 100
+    bytes each) are held in one row, so a group has at most 2 GB of them.
+    """
     rows = F.sort_array(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], item.alias("item"))))
     return F.sha2(F.array_join(F.transform(rows, lambda r: r["item"]), ""), 256)

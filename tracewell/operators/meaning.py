@@ -90,10 +90,26 @@ def request_languages(docs: DataFrame) -> DataFrame:
     return known.unionByName(rest)
 
 
+# Kinds of symbols of a code graph that start flows.
+ENTRY_KINDS = ["route", "entrypoint"]
+
+
+def entry_symbols(symbols: DataFrame, kind: str = "kind", kinds: list[str] = ENTRY_KINDS, place: str = "line") -> DataFrame:
+    """The symbols of a kind that starts flows, in order of their place."""
+    return symbols.filter(F.col(kind).isin(*kinds)).orderBy(place)
+
+
+def lane_labels(steps: DataFrame) -> DataFrame:
+    """(layer, label, n): the convention that most steps (layer, convention, place) of a layer have; of equal ones, the first seen."""
+    counts = steps.groupBy("layer", "convention").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    best = F.max_by(F.struct("convention", "n"), F.struct("n", -F.col("first")))
+    return counts.groupBy("layer").agg(best.alias("b")).select("layer", F.col("b.convention").alias("label"), "b.n")
+
+
 def path_pattern(steps: DataFrame, patterns: DataFrame) -> DataFrame:
     """Steps (flow, ordinal, layer, path) whose layer has path patterns none of which matches."""
     layers = patterns.groupBy("layer").agg(F.collect_set("pattern").alias("patterns"))
-    rows = steps.join(F.broadcast(layers), "layer")
+    rows = steps.join(layers, "layer")
     return rows.filter(~F.exists("patterns", lambda p: glob_match(F.col("path"), p))).select("flow", "ordinal", "layer")
 
 

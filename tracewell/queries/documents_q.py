@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import ids
 from tracewell.functions import text as X
+from tracewell.operators import meaning as N
 from tracewell.queries.registry import query
 from tracewell.sources import documents as D
 
@@ -68,9 +69,13 @@ def carry_forward(v):
     return D.carry_forward(v["v_gen_a"].select("k", "content_id"), v["v_gen_b"].select("k", "content_id"), "k")
 
 
-@query("view_store", "v_turn", "SELECT 'view-' || sha256(concat_ws(chr(0), flow::varchar, kind, ordinal::varchar)) AS view_id, flow, ordinal FROM v_turn")
+@query("view_store", "v_turn", """
+SELECT 'view-' || sha256(concat_ws(chr(0), flow::varchar, kind, CASE WHEN ordinal % 3 = 0 THEN 'token: [REDACTED]' ELSE 'plain' END, ordinal::varchar)) AS view_id, flow, ordinal, flow % 5 <> 0 AS intact FROM v_turn""")
 def view_store(v):
-    return D.view_rows(v["v_turn"].drop("text")).select("view_id", "flow", "ordinal")
+    """Every third row has a secret; the rows of every fifth flow are changed after they were stored."""
+    note = F.expr("if(ordinal % 3 = 0, 'token: abcdef123', 'plain')")
+    views = D.view_rows(v["v_turn"].drop("text").withColumn("note", note))
+    return D.view_check(views.withColumn("kind", F.expr("if(flow % 5 = 0, concat(kind, '!'), kind)"))).select("view_id", "flow", "ordinal", "intact")
 
 
 _KEY = "sha256(concat_ws(chr(0), coalesce(file_hash, ''), symbol, '1', 'o'))"
@@ -101,7 +106,8 @@ def lane_upsert(v):
 
 @query("entry_symbols", "v_candidate", "SELECT candidate_id, marker_kind, p_partkey AS line FROM v_candidate WHERE marker_kind IN ('usecase_call', 'route_callback') ORDER BY line")
 def entry_symbols(v):
-    return v["v_candidate"].filter(F.col("marker_kind").isin("usecase_call", "route_callback")).select("candidate_id", "marker_kind", F.col("p_partkey").alias("line")).orderBy("line")
+    symbols = v["v_candidate"].select("candidate_id", "marker_kind", F.col("p_partkey").alias("line"))
+    return N.entry_symbols(symbols, "marker_kind", ["usecase_call", "route_callback"], "line")
 
 
 @query("contract_split", "events", """
@@ -195,9 +201,7 @@ def layer_infer(v):
 
 @query("lane_label", "v_step", "WITH c AS (SELECT suppkey % 3 AS layer, kind, count(*) AS n, min(flow * 1000 + ordinal) AS first FROM v_step GROUP BY 1, 2) SELECT layer, kind AS label, n FROM c QUALIFY row_number() OVER (PARTITION BY layer ORDER BY n DESC, first) = 1")
 def lane_label(v):
-    counts = v["v_step"].groupBy(F.expr("suppkey % 3").alias("layer"), "kind").agg(F.count("*").alias("n"), F.min(F.expr("flow * 1000 + ordinal")).alias("first"))
-    best = F.max_by(F.struct("kind", "n"), F.struct("n", -F.col("first")))
-    return counts.groupBy("layer").agg(best.alias("b")).select("layer", F.col("b.kind").alias("label"), "b.n")
+    return N.lane_labels(v["v_step"].select(F.expr("suppkey % 3").alias("layer"), F.col("kind").alias("convention"), F.expr("flow * 1000 + ordinal").alias("place")))
 
 
 @query("glob_match", "v_path", "SELECT page_id, pattern, CASE pattern WHEN 'lib/**/*.dart' THEN page_id % 9 = 4 WHEN '**/pubspec.lock' THEN page_id % 9 = 7 WHEN 'docs/?.md' THEN page_id % 9 = 8 AND page_id < 10 ELSE page_id % 9 = 5 END AS hit FROM v_path, (VALUES ('lib/**/*.dart'), ('**/pubspec.lock'), ('docs/?.md'), ('lib/data/*.kt')) p(pattern) WHERE page_id % 9 IN (4, 5, 7, 8)")

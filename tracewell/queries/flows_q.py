@@ -78,9 +78,10 @@ def candidate_rank(v):
 @query("publish_select", "v_doc v_candidate v_manifest", f"""
 WITH {_SCORED} SELECT candidate_id FROM ranked LEFT JOIN v_manifest m ON m.entry = entry_symbol_path
 WHERE m.rule = 'pinned' OR (tie_break_rank = 0 AND trigger_class <> 'use_case_invocation')
-ORDER BY (m.rule IS NOT DISTINCT FROM 'pinned') DESC, score DESC, entry_symbol_path LIMIT 50""")
+QUALIFY row_number() OVER (PARTITION BY split_part(entry_symbol_path, '/', 2) ORDER BY (m.rule IS NOT DISTINCT FROM 'pinned') DESC, score DESC, entry_symbol_path) <= 50""")
 def publish_select(v):
-    return D.publish_select(C.apply_manifest(_ranked(v), v["v_manifest"]), 50).select("candidate_id")
+    rows = C.apply_manifest(_ranked(v), v["v_manifest"]).withColumn("repo_id", F.split_part("entry_symbol_path", F.lit("/"), F.lit(2)))
+    return D.publish_select(rows, 50).select("candidate_id")
 
 
 @query("literal_search", "v_candidate", """

@@ -27,6 +27,23 @@ def marker_web(v):
     return v["v_step"].select("symbol").distinct().select("symbol", T.marker_web(F.lit(None), F.col("symbol"), F.lit(None))["marker"].alias("marker"))
 
 
+# Class, method, body and the marker they give, one row for each rule and its exceptions.
+_MOBILE = [
+    ("HomePage", "didChangeAppLifecycleState", "", "lifecycle_callback"), ("CartNotifier", "add", "state = x; notifyListeners();", "state_mutation"), ("CartNotifier", "add", "state = x;", "notifier_method"), ("LoginUseCase", "run", "", "usecase_call"), ("LoginUseCase", "_run", "", None), ("OrderBloc", "_onAdd", "", "bloc_handler"),
+    ("OrderController", "build", "", "notifier_method"), ("OrderController", "save", "", "notifier_method"), ("HomePage", "open", "deepLink", "route_callback"), ("HomePage", "open", "queryParameters; context.go('/x')", "route_callback"), ("HomePage", "open", "Navigator.of(context)", "route_callback"), ("HomePage", "onSavePressed", "", "route_callback"),
+    ("HomePage", "build", "", None), ("OrderBloc", "add", "", "notifier_method"), ("NetProbe", "check", "ping();", "usecase_call"), ("NetProbe", "check", " ", None), ("AuthInterceptor", "run", "x", "lifecycle_callback"), ("UserRepository", "load", "x", None), ("", "onBackgroundMessage", "", "lifecycle_callback"), ("", "main", "appRouter.push(x)", None), ("", "open", "deep_link", "route_callback"),
+]
+_MOBILE_SQL = ", ".join(f"({i}, {'NULL' if marker is None else repr(marker)})" for i, (*_, marker) in enumerate(_MOBILE))
+
+
+@query("marker_mobile", "part", f"SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND i IN (14, 16) THEN NULL ELSE marker END AS marker FROM part JOIN (VALUES {_MOBILE_SQL}) m(i, marker) ON i = p_partkey // 2 % {len(_MOBILE)}")
+def marker_mobile(v):
+    """Rows with an even key stand in a test folder."""
+    case = F.get(F.array(*[F.struct(F.lit(c).alias("scope"), F.lit(n).alias("name"), F.lit(b).alias("body")) for c, n, b, _ in _MOBILE]), F.expr(f"int(p_partkey div 2 % {len(_MOBILE)})"))
+    rows = v["part"].select("p_partkey", case.alias("c"), F.expr("if(p_partkey % 2 = 0, 'app/test/a.dart', 'lib/a.dart')").alias("path"))
+    return rows.select("p_partkey", T.marker_mobile(F.col("c.scope"), F.col("c.name"), F.col("c.body"), F.col("path"), ["riverpod", "bloc"])["marker"].alias("marker"))
+
+
 @query("detect_arch", "orders", """
 SELECT o_custkey AS repo_id, CASE WHEN bool_or(o_orderkey % 5 = 0) AND bool_or(o_orderkey % 5 = 1) THEN 'feature_sliced_design' WHEN bool_or(o_orderkey % 5 = 2) THEN 'standard_react_spa' WHEN bool_or(o_orderkey % 5 = 3) THEN 'clean_architecture' WHEN bool_or(o_orderkey % 5 IN (0, 1)) THEN 'generic_frontend' ELSE 'clean_architecture' END AS pattern
 FROM orders GROUP BY 1""")

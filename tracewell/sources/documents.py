@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import ids
-from tracewell.functions.text import is_source, path_policy
+from tracewell.functions.text import is_source, path_policy, redact
 
 
 def read_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -88,16 +88,26 @@ def carry_forward(old: DataFrame, new: DataFrame, key: str = "flow_id") -> DataF
 
 
 def publish_select(candidates: DataFrame, n: int) -> DataFrame:
-    """Of each repository the first n to publish: pinned ones, then roots that aren't use-case calls, by score."""
+    """Of each repository (repo_id) the first n to publish: pinned ones, then roots that aren't use-case calls, by score."""
     pinned = F.col("override").eqNullSafe("pinned")
     fit = candidates.filter(pinned | (F.col("deduped_into").isNull() & (F.col("trigger_class") != "use_case_invocation")))
-    return fit.orderBy(pinned.desc(), F.col("score").desc(), "entry_symbol_path").limit(n)
+    place = F.row_number().over(Window.partitionBy("repo_id").orderBy(pinned.desc(), F.col("score").desc(), "entry_symbol_path"))
+    return fit.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
+
+
+def _view_id(columns: list[str]) -> Column:
+    return F.concat(F.lit("view-"), F.sha2(F.concat_ws(ids.NUL, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(columns)]), 256))
 
 
 def view_rows(docs: DataFrame, *volatile: str) -> DataFrame:
-    """Rows with view_id, the hash of their stable columns in order of name, and a check of it."""
-    stable = sorted(c for c in docs.columns if c not in volatile)
-    return docs.withColumn("view_id", F.concat(F.lit("view-"), F.sha2(F.concat_ws(ids.NUL, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in stable]), 256)))
+    """Rows with view_id, the hash of their stable columns in order of name; secrets in text columns are redacted first."""
+    clean = [redact(F.col(c)).getField("text").alias(c) if t == "string" else F.col(c) for c, t in docs.dtypes]
+    return docs.select(*clean).withColumn("view_id", _view_id([c for c in docs.columns if c not in volatile]))
+
+
+def view_check(views: DataFrame, *volatile: str) -> DataFrame:
+    """``views`` (rows with view_id) with intact: whether the id is still that of the row."""
+    return views.withColumn("intact", F.col("view_id").eqNullSafe(_view_id([c for c in views.columns if c not in ("view_id", *volatile)])))
 
 
 def cache_split(wanted: DataFrame, cache: DataFrame) -> DataFrame:
