@@ -1,7 +1,9 @@
 """A corpus pipeline: each stage applies one operator to all its predecessor kept.
 
-All stages but the last return the columns of ``documents``; a stage that
-changes texts sets n_chars again and drops what is left without a word.
+All stages but the last return the columns of ``documents`` (and any others
+that came with them); a stage that changes texts sets n_chars again and drops
+what is left without a word, null and empty texts with it. Empty tables give
+empty results. Ties, repeated rows and null ids are as the operators state.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ def _with_text(out: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; texts without a word are among them, repeated rows are judged alike."""
     crf = line_crf.fit(docs, table(spark, sf_dir, "labels"))
     return line_crf.score(docs, crf).filter("predicted = 1").select("row.*")
 
@@ -39,7 +41,11 @@ def line_dedup_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id stays."""
+    """Of each group of near duplicates, the document with the smallest id stays.
+
+    Rows of one id are one document: they stay or go together. Rows without an
+    id and texts without a word stay.
+    """
     gone = save(ngram_join.near_duplicates(docs).filter("component_id < doc_id").select("doc_id").distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_ROWS else gone
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
