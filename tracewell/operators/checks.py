@@ -218,3 +218,23 @@ def publication_gates(maps: DataFrame, rules: dict[str, dict[str, str]] = GATE_R
     out = maps.withColumn("_causes", F.array(*causes))
     out = out.withColumn("failed", all_of({gate: F.size(F.col("_causes")[i]) > 0 for i, gate in enumerate(rules)})).withColumn("causes", F.flatten("_causes")).drop("_causes")
     return out.withColumn("passed", F.size("failed") == 0)
+
+
+def closure_status(observations: DataFrame, required: DataFrame) -> DataFrame:
+    """(closure, measured, status, reasons): the names that a closure's measured observations have, in order, and whether those required are among them.
+
+    observations: closure, category, kind, measured; required: closure, name.
+    An observation of its category's own kind (or of source_membership, in
+    membership) has the category's name, any other that of its kind. A closure
+    is closed if nothing required is missing, else open, with a reason for
+    each missing name. Null or empty kinds have no name.
+    """
+    own = (F.col("kind") == F.col("category")) | ((F.col("category") == "membership") & (F.col("kind") == "source_membership"))
+    name = F.when(own, F.col("category")).otherwise(F.nullif("kind", F.lit("")))
+    seen = observations.filter("measured").groupBy("closure").agg(F.array_sort(F.collect_set(name)).alias("measured"))
+    want = required.groupBy("closure").agg(F.array_sort(F.collect_set("name")).alias("required"))
+    none = F.expr("cast(array() as array<string>)")
+    rows = observations.select("closure").union(required.select("closure")).distinct().join(seen, "closure", "left").join(want, "closure", "left")
+    rows = rows.select("closure", F.coalesce("measured", none).alias("measured"), F.coalesce("required", none).alias("required"))
+    missing = F.array_except("required", "measured")
+    return rows.select("closure", "measured", F.when(F.size(missing) == 0, "closed").otherwise("open").alias("status"), F.transform(missing, lambda n: F.concat(F.lit("not_measured:"), n)).alias("reasons"))

@@ -134,3 +134,18 @@ def map_counts(v):
     edges = v["v_edge"].select(F.col("flow").alias("map"), F.col("step_ordinal").alias("from_step"), F.col("target_ordinal").alias("to_step"))
     out = K.map_counts(s, edges, refs, evidence, maps)
     return out.select("map", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_steps", "n_steps_twice", "n_bare", "n_unknown_refs", "n_evidence", "n_unbound", "n_edges_outside")))
+
+
+@query("closure_status", "events", """
+WITH o AS (SELECT user_id AS closure, CASE event_type WHEN 'click' THEN 'membership' WHEN 'view' THEN 'negative_lookup' WHEN 'purchase' THEN 'dependency_frontier' ELSE event_type END AS name FROM events WHERE value > 60 + 12 * (user_id % 15)),
+m AS (SELECT user_id AS closure, coalesce((SELECT string_agg(DISTINCT name, ',' ORDER BY name) FROM o WHERE o.closure = u.user_id), '') AS measured FROM (SELECT DISTINCT user_id FROM events) u),
+w AS (SELECT closure, name FROM m, (VALUES ('membership'), ('signup'), ('negative_lookup')) n(name) WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.closure = m.closure AND o.name = n.name))
+SELECT closure, measured, CASE WHEN closure IN (SELECT closure FROM w) THEN 'open' ELSE 'closed' END AS status, coalesce((SELECT string_agg('not_measured:' || name, ',' ORDER BY name) FROM w WHERE w.closure = m.closure), '') AS reasons FROM m""")
+def closure_status(v):
+    """Clicks are memberships of the source, views lookups without a hit, purchases frontiers; other types name themselves."""
+    category = F.expr("case event_type when 'click' then 'membership' when 'purchase' then 'dependency_frontier' else 'negative_lookup' end")
+    kind = F.expr("case event_type when 'click' then 'source_membership' when 'view' then 'negative_lookup' when 'purchase' then 'dependency_frontier' else event_type end")
+    rows = v["events"].select(F.col("user_id").alias("closure"), category.alias("category"), kind.alias("kind"), F.expr("value > 60 + 12 * (user_id % 15)").alias("measured"))
+    need = rows.select("closure").distinct().select("closure", F.explode(F.array(*[F.lit(n) for n in ("membership", "signup", "negative_lookup")])).alias("name"))
+    out = K.closure_status(rows, need)
+    return out.select("closure", F.array_join("measured", ",").alias("measured"), "status", F.array_join("reasons", ",").alias("reasons"))
