@@ -45,3 +45,21 @@ def test_limitations(spark):
     found = R.limitations(frames, steps, edges, steps.select("flow", "ordinal").limit(0), steps.filter("flow = 2").select("flow"))
     assert sorted(map(tuple, found.collect())) == [(1, 2, "grouping_evidence_missing"), (1, 3, "grouping_evidence_missing"), (1, 4, "invocation_unproven"), (2, 1, "request_relevance_unproven"), (2, 2, "request_relevance_unproven")]
     assert R.limitations(frames.limit(0), steps.limit(0), edges.limit(0), steps.select("flow", "ordinal").limit(0), steps.select("flow").limit(0)).collect() == []
+
+
+def test_renumber_and_nullish_fork(spark):
+    from tracewell.operators import folds as M
+
+    rows = [(1, "call", 0, 5, "entry"), (2, "branch", 10, 12, "decision"), (3, "return", 10, 20, "process"), (4, "call", 30, 35, "process")]
+    steps = spark.createDataFrame(rows, "ordinal int, kind string, byte_start int, byte_end int, role string").withColumns(
+        {"flow": F.lit(1), "invocation_id": F.lit("i"), "path": F.lit("p"), "symbol": F.lit("s"), "file_hash": F.lit("h"), "status": F.lit("verified"), "boundary": F.lit(False), "effect": F.lit(False), "single": F.lit(True), "state_after": F.lit(None).cast("string"), "guard_condition": F.lit(None).cast("string")}
+    )
+    edge = lambda a, b, step, outcome: (1, a, b, "control_flow", "resolved", step, outcome)
+    names = "flow int, step_ordinal int, target_ordinal int, kind string, resolution_status string, condition_step int, outcome string"
+    edges = [edge(1, 2, None, None), edge(2, 3, 2, "nullish"), edge(2, 3, 2, "non_nullish")]
+    merged = M.merge_expressions(steps, spark.createDataFrame(edges, names))
+    assert sorted(map(tuple, merged.select("ordinal", "into", "role", "status").collect())) == [(2, 2, "decision", "verified"), (3, 2, "decision", "verified")]
+    frames = M.renumber(steps.select("flow", F.col("ordinal").alias("frame"), "ordinal"), merged)
+    assert sorted((r.ordinal, r.frame) for r in frames.collect()) == [(1, 1), (2, 2), (3, 2), (4, 3)]
+    assert M.merge_expressions(steps, spark.createDataFrame(edges[:2], names)).collect() == []
+    assert M.merge_expressions(steps.limit(0), spark.createDataFrame([], names)).collect() == []

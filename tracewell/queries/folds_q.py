@@ -47,3 +47,25 @@ b AS (SELECT flow, invocation_id, min(ordinal) AS source FROM v_step WHERE kind
 SELECT DISTINCT e.flow, b.source, g.next AS target FROM e JOIN g ON g.flow = e.flow AND g.step_ordinal = e.step_ordinal JOIN v_step s ON s.flow = e.flow AND s.ordinal = e.into_ JOIN b ON b.flow = e.flow AND b.invocation_id = s.invocation_id WHERE b.source >= e.into_""")
 def return_edges(v):
     return M.return_edges(v["v_step"], v["v_edge"])
+
+
+@query("merge_expressions", "v_step", """
+WITH s AS (SELECT flow, ordinal, partkey, count(*) OVER (PARTITION BY flow) AS n FROM v_step), m AS (SELECT *, ordinal >= n - 2 AS inside FROM s),
+g AS (SELECT flow, max(n) AS n, flow % 3 = 1 AS fork, count(*) FILTER (inside AND partkey % 12 = 0) AS edges, bool_or(inside AND partkey % 6 = 0) AS unknown, bool_or(inside AND partkey % 6 = 1) AS partial FROM m GROUP BY flow
+  HAVING max(n) > 1 AND (flow % 3 <> 2 OR count(DISTINCT partkey % 2) = 1) AND NOT bool_or(ordinal = n - 3 AND partkey % 14 = 0) AND NOT bool_or(inside AND (partkey % 29 = 0 OR (ordinal < n AND (partkey % 10 = 0 OR partkey % 8 = 0))))),
+k AS (SELECT *, CASE WHEN edges = 1 THEN 'boundary' WHEN n <= 3 THEN 'entry' WHEN fork THEN 'decision' ELSE 'process' END AS role, CASE WHEN unknown THEN 'unknown' WHEN partial THEN 'partial' ELSE 'verified' END AS status FROM g WHERE edges = 0 OR (edges = 1 AND NOT fork AND n > 3))
+SELECT m.flow, m.ordinal, CASE WHEN inside AND k.flow IS NOT NULL THEN greatest(m.n - 2, 1) ELSE m.ordinal END AS frame, CASE WHEN inside THEN role END AS merged_role, CASE WHEN inside THEN status END AS merged_status FROM m LEFT JOIN k USING (flow)""")
+def merge_expressions(v):
+    """The last step of each flow is a return or guard around the two before it; the others are calls or, in every third flow, branches."""
+    s = v["v_step"].select("flow", "ordinal", "partkey", F.expr("count(*) over (partition by flow)").alias("n"))
+    steps = s.select(
+        "flow", "ordinal", "partkey", "n", F.lit(1).alias("invocation_id"), F.lit("s").alias("symbol"), F.lit("h").alias("file_hash"), F.expr("if(flow % 3 = 2, concat('p', partkey % 2), 'p')").alias("path"), F.expr("100 * if(ordinal = n, greatest(n - 2, 1), ordinal)").alias("byte_start"),
+        F.expr("if(ordinal = n - 3 and partkey % 14 = 0, 100 * (n - 2) + 10, 100 * ordinal + 50)").alias("byte_end"), F.expr("case when ordinal = n and flow % 6 = 1 then 'guard' when ordinal = n then 'return' when partkey % 10 = 0 then 'mutation' when flow % 3 = 1 then 'branch' else 'call' end").alias("kind"),
+        F.expr("partkey % 29 = 0").alias("effect"), F.expr("partkey % 12 = 0").alias("boundary"), F.lit(True).alias("single"), F.lit(None).cast("string").alias("state_after"), F.lit(None).cast("string").alias("guard_condition"), F.expr("case partkey % 6 when 0 then 'unknown' when 1 then 'partial' else 'verified' end").alias("status"),
+    )
+    steps = steps.withColumn("role", F.expr("case when ordinal = 1 then 'entry' when effect then 'effect' when kind in ('branch', 'guard') then 'decision' else 'process' end"))
+    ways = "case when ordinal < n and flow % 3 <> 1 then array(struct(ordinal + 1 as b, cast(null as string) as outcome)) when ordinal < n then array(struct(ordinal + 1 as b, 'truthy' as outcome), struct(if(ordinal < n - 2, ordinal + 1, n) as b, 'falsy' as outcome)) when kind = 'guard' then array(struct(n + 1 as b, 'truthy' as outcome), struct(n + 2 as b, 'falsy' as outcome)) end"
+    edges = steps.select("flow", F.col("ordinal").alias("step_ordinal"), F.expr(f"inline({ways})").alias("target_ordinal", "outcome"), "partkey", "n").select("flow", "step_ordinal", "target_ordinal", "outcome", F.expr("if(outcome is null, null, step_ordinal)").alias("condition_step"), F.lit("control_flow").alias("kind"), F.expr("if(partkey % 8 = 0 and step_ordinal < n, 'unresolved', 'resolved')").alias("resolution_status"))
+    merged = M.merge_expressions(steps, edges)
+    frames = M.renumber(steps.select("flow", F.col("ordinal").alias("frame"), "ordinal"), merged)
+    return frames.join(merged.select("flow", "ordinal", F.col("role").alias("merged_role"), F.col("status").alias("merged_status")), ["flow", "ordinal"], "left")
