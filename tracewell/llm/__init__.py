@@ -1,5 +1,5 @@
 """Operators for preparing training text at scale.
 
-One module per operator; ``queries`` registers their ten queries. Nothing
+One module per operator; ``queries`` registers their queries. Nothing
 else in the library imports this subpackage.
 """

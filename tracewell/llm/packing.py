@@ -54,27 +54,65 @@ def plain_byte_level(file: dict) -> bool:
 
 
 @cache
-def encoder(path: str) -> Callable[[str], np.ndarray]:
+def load(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def own_tokens(path: str) -> dict[bytes, int]:
+    """The bytes of each token of a byte-level file, but the special ones."""
+    file, byte = load(path), {c: b for b, c in enumerate(byte_letters())}
+    special = {t["content"] for t in file["added_tokens"]}
+    return {bytes(byte[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in special}
+
+
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of each id of a byte-level file; special tokens stand for their strings."""
+    own = {i: x for x, i in own_tokens(path).items()} | {t["id"]: t["content"].encode() for t in load(path)["added_tokens"]}
+    return [own.get(i, b"") for i in range(max(own) + 1)]
+
+
+def splits_at_spaces(path: str) -> bool:
+    """Whether the ids of a text are those of its parts, cut before each space between two characters that aren't white space."""
+    return plain_byte_level(load(path))
+
+
+@cache
+def library(path: str, special: bool) -> Callable[[str], np.ndarray]:
+    """The ids of a text by the tokenizers library; ``special``: whether special tokens' strings in a text are those tokens."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = not special
+    return lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
+
+
+@cache
+def encoder(path: str, special: bool = True) -> Callable[[str], np.ndarray]:
     """The ids of a text by the tokenizer file at ``path``, without special tokens of its own around them.
 
     A plain byte-level file goes to tiktoken, which merges the same way with a
-    fraction of the work; any other file to the tokenizers library.
+    fraction of the work; any other file to the tokenizers library. A text
+    with a run of white space that is too long for tiktoken's pattern goes to
+    that library too.
     """
-    with open(path, encoding="utf-8") as f:
-        file = json.load(f)
+    file = load(path)
     if not plain_byte_level(file):
-        from tokenizers import Tokenizer
-
-        whole = Tokenizer.from_file(path)
-        return lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
+        return library(path, special)
     import tiktoken
 
-    special = {t["content"]: t["id"] for t in file["added_tokens"]}
-    byte = {c: b for b, c in enumerate(byte_letters())}
-    ranks = {bytes(byte[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in special}
-    model = tiktoken.Encoding("file", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens=special)
-    del file
-    return lambda text: model.encode_to_numpy(text, allowed_special="all")
+    names = {t["content"]: t["id"] for t in file["added_tokens"]}
+    model = tiktoken.Encoding("file", pat_str=PRETOKENS, mergeable_ranks=own_tokens(path), special_tokens=names)
+    load.cache_clear()
+    allowed = "all" if special else set()
+
+    def ids(text: str) -> np.ndarray:
+        try:
+            return model.encode_to_numpy(text, allowed_special=allowed, disallowed_special=())
+        except ValueError:
+            return library(path, special)(text)
+
+    return ids
 
 
 def encode(text: str, path: str) -> bytes:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bm25, interpolation, line_crf, line_dedup, ngram_join, packing, pieces, quality_rules, substring_dedup, warc
+from tracewell.llm import alignment, bm25, interpolation, line_crf, line_dedup, mixing, ngram_join, packing, pieces, quality_rules, substring_dedup, vector_codes, warc
 
 
 def tokenizer(name: str) -> str:
@@ -75,13 +75,53 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings", rows=8192)).drop("label")
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents", rows=64), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")).drop("groups")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_ngram_jaccard_join, op3_sentencepiece, op4_quality_rules, op5_substring_dedup, op6_bm25_search, op7_lm_scoring, op8_warc, op9_line_dedup, op10_quality_classifier)
+    f.__name__: f for f in (op1_packing, op2_ngram_jaccard_join, op3_sentencepiece, op4_quality_rules, op5_substring_dedup, op6_bm25_search, op7_lm_scoring, op8_warc, op9_line_dedup, op10_quality_classifier, op11_mixing, op12_vector_codes, op13_tokenizer_alignment)
 }
 
 _WORD = "'[^\\x20\\x09-\\x0D]+'"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _fill_sql(i: int) -> str:
+    """One round of filling: the documents nearest below and above each gap, and the best set so far."""
+    key = "{'v': v, 'd': doc_id, 's': size}"
+    near = f"{{'miss': abs(gap - words), 'key': {key}}}"
+    options = "[{'miss': miss, 'fills': fills}, CASE WHEN over IS NOT NULL THEN {'miss': over.miss, 'fills': list_append(fits, over.key)} END, CASE WHEN fit IS NOT NULL THEN {'miss': fit.miss, 'fills': list_append(fits, fit.key)} END]"
+    return f"""
+n{i} AS (SELECT place, min({near}) FILTER (WHERE words <= gap) AS fit, min({near}) FILTER (WHERE words > gap) AS over FROM h JOIN f{i - 1} USING (place) WHERE free AND words > 0 AND words < 2 * gap AND NOT list_contains(fits, {key}) GROUP BY 1),
+m{i} AS (SELECT place, coalesce(fit.miss, gap) AS gap, CASE WHEN fit IS NULL THEN fits ELSE list_append(fits, fit.key) END AS fits, list_min(list_filter({options}, lambda x: x IS NOT NULL)) AS best FROM f{i - 1} LEFT JOIN n{i} USING (place)),
+f{i} AS (SELECT place, gap, fits, best['miss'] AS miss, best['fills'] AS fills FROM m{i}),"""
+
+
+_FINITE = "CASE WHEN coalesce(len(embedding), 0) = 0 THEN false ELSE list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) END"
+
+
+def _round_sql(i: int) -> str:
+    """Assignment of all parts to codebook ``i``: (vec_id, p, e, d)."""
+    return f"""
+d{i} AS (SELECT vec_id, x.p, e, sum((x.v - c.v) * (x.v - c.v))::BIGINT AS d FROM x JOIN c{i} c USING (p, k) GROUP BY 1, 2, 3),
+a{i} AS (SELECT vec_id, p, e, d FROM d{i} QUALIFY row_number() OVER (PARTITION BY vec_id, p ORDER BY d, e) = 1),"""
+
+
+def _learn_sql(i: int) -> str:
+    return f"""{_round_sql(i)}
+c{i + 1} AS (SELECT p, e, k, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (SELECT x.p, e, k, floor(sum(x.v)::DOUBLE / count(*))::BIGINT AS v FROM x JOIN a{i} USING (vec_id, p) GROUP BY 1, 2, 3) m USING (p, e, k)),"""
+
+
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_WORD}) AS w FROM documents),
@@ -108,4 +148,26 @@ a AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS m FROM d),
 q AS (SELECT query_id, t, count(*) AS times FROM (SELECT item_id AS query_id, unnest(regexp_extract_all({_LOWER}, {_WORD})) AS t FROM benchmark WHERE item_id % 20 = 0) x GROUP BY 1, 2),
 s AS (SELECT query_id, doc_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / m))) AS score FROM q JOIN df USING (t) JOIN tf USING (t) JOIN d USING (doc_id), a GROUP BY 1, 2)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank, doc_id, round(score, 6) AS score FROM s QUALIFY rank <= 10""",
+    "op11_mixing": f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORD})) AS size FROM documents),
+u AS (SELECT source, doc_id, size, count(*) AS copies, size * count(*) AS words FROM d GROUP BY 1, 2, 3),
+s AS (SELECT source, w, place, [5, 2, 1][(place % 3 + 1)::INT] AS weight FROM (SELECT source, sum(words)::BIGINT AS w, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM u GROUP BY 1) y),
+l AS (SELECT w, weight, (sum(w) OVER ()::BIGINT * 1.5::DOUBLE - coalesce(sum(2 * w) OVER (ORDER BY 2 * w / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT)::DOUBLE / sum(weight) OVER (ORDER BY 2 * w / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS level, 2 * w / weight AS r, place FROM s),
+v AS (SELECT level FROM l WHERE 2 * w > level * weight ORDER BY r, place LIMIT 1),
+t AS (SELECT s.*, coalesce(least(2 * w::DOUBLE, (SELECT level FROM v) * weight), 2 * w::DOUBLE) AS target FROM s),
+e AS (SELECT u.*, place, w, target, CASE WHEN w > 0 THEN least(2.0::DOUBLE, target / w) ELSE 0 END AS expected, length(bin(size)) AS kind, (('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || size), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / pow(2, 48) AS u FROM u JOIN t ON u.source IS NOT DISTINCT FROM t.source),
+o AS (SELECT *, floor(expected)::BIGINT AS base, expected - floor(expected) AS chance, CASE WHEN expected > floor(expected) THEN (u / (1 - u)) / ((expected - floor(expected)) / (1 - (expected - floor(expected)))) END AS odds FROM e),
+q AS (SELECT *, CASE WHEN odds IS NOT NULL THEN least(odds / (1 + odds), 1 - pow(2, -53)) END AS v FROM o),
+g AS (SELECT *, v IS NOT NULL AND words > 0 AND sum(words) OVER (PARTITION BY place, kind, v IS NULL ORDER BY v, doc_id NULLS FIRST, size) <= sum(chance * words) OVER (PARTITION BY place, kind) + {mixing.ROUNDING} AS picked FROM q),
+h AS (SELECT *, base + picked::BIGINT AS times, v IS NOT NULL AND NOT picked AS free FROM g),
+f0 AS (SELECT place, any_value(target) - sum(words * times)::BIGINT AS gap, [{{'v': 0::DOUBLE, 'd': 0::BIGINT, 's': 0::BIGINT}}][:0] AS fits, gap AS miss, fits AS fills FROM h GROUP BY 1),{"".join(map(_fill_sql, range(1, mixing.FILLS + 1)))}
+z AS (SELECT h.*, fills FROM h JOIN f{mixing.FILLS} USING (place))
+SELECT doc_id, source, size, w AS source_size, target, size * (times + list_contains(fills, {{'v': v, 'd': doc_id, 's': size}})::BIGINT) AS taken FROM (SELECT *, unnest(range(copies)) FROM z) y""",
+    "op12_vector_codes": f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings WHERE {_FINITE}),
+x AS (SELECT vec_id, (i // (len(q) // {vector_codes.PARTS}))::INT AS p, i AS k, q[i + 1] AS v FROM (SELECT vec_id, q, unnest(range(len(q))) AS i FROM k) y),
+c0 AS (SELECT p, e, k, v FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k QUALIFY e < {vector_codes.ENTRIES}) y USING (vec_id)),{"".join(map(_learn_sql, range(vector_codes.ROUNDS)))}{_round_sql(vector_codes.ROUNDS)}
+b AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{vector_codes.ROUNDS} GROUP BY 1),
+h AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY p, e, k)) AS digest FROM c{vector_codes.ROUNDS})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, digest AS codebooks_sha256 FROM b JOIN k USING (vec_id), h""",
 }
