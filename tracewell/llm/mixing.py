@@ -25,7 +25,9 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
 BINS = 256
 #: Documents of a source that are added one by one to fill what the samples of its classes leave.
-FILLS = 5
+FILLS = 3
+#: Share of a target within which its source needs no more.
+CLOSE = 0.0005
 #: Sources (or sources and classes) up to this number are broadcast, some 50 bytes each.
 MAX_BROADCAST_ROWS = 100_000
 SOURCES_PER_PART = 100_000
@@ -105,7 +107,8 @@ def mix(docs: DataFrame, priority: Column | None = None, weights: tuple[int, ...
     document's inclusion odds within its source. Random numbers are hashes of
     ``seed``, id and size, so reruns agree; rows that are equal in source, id,
     size and priority are one unit, taken together. Ties go by id, then size.
-    What the samples leave of a target is filled by a few single documents. ``share`` over ``most``
+    What the samples leave of a target is filled by single documents and by
+    ones that fit, by rank whatever their class. ``share`` over ``most``
     brings every source to ``most`` times its size. An empty table gives an
     empty result; other columns of ``docs`` are ignored.
     """
@@ -143,31 +146,50 @@ def mix(docs: DataFrame, priority: Column | None = None, weights: tuple[int, ...
     strata = wants.count()
     chosen = join_small(units, found, ["place", "kind"], "left", strata, MAX_BROADCAST_ROWS)
     picked = F.coalesce((F.col("v").isNotNull()) & (F.col("words") > 0) & (F.col("cut").isNull() | (F.col("key") <= F.col("cut"))), F.lit(False))
-    chosen = save(chosen.select("place", "doc_id", "source", "size", "copies", "words", "source_size", "target", "v", "key", (F.col("base") + picked.cast("long")).alias("times"), (F.col("v").isNotNull() & ~picked).alias("free")), "chosen")
-
-    keys = chosen.schema["key"].dataType
-    gap = F.first("target") - F.sum(F.col("words") * F.col("times"))
-    state = save(chosen.groupBy("place").agg(gap.alias("gap")).select("place", "gap", F.array().cast(ArrayType(keys)).alias("fits"), F.col("gap").alias("miss"), F.array().cast(ArrayType(keys)).alias("fills")), "gaps", made)
-    for _ in range(FILLS):
-        state = save(_filled(chosen, state, n), "fills", made)
-    state = save(state.select("place", "fills"), "fills")
-    out = join_small(chosen, state, "place", "left", n, MAX_BROADCAST_ROWS).withColumn("times", F.col("times") + F.exists("fills", lambda x: x.eqNullSafe(F.col("key"))).cast("long"))
+    columns = ["place", "doc_id", "source", "size", "copies", "words", "source_size", "target", "v", "key"]
+    chosen = save(chosen.select(*columns, (F.col("base") + picked.cast("long")).alias("times"), (F.col("v").isNotNull() & (F.col("words") > 0) & ~picked).alias("free")), "chosen", made)
+
+    # what is left of each target: a few documents that fit, then ones by rank from all classes, then a few again
+    state = filled(chosen, n, made)
+    far = F.col("miss") > CLOSE * F.col("target")
+    state = save(state.select("place", "gap", "target", far.alias("far"), F.when(far, F.col("fits")).otherwise(F.col("fills")).alias("fills")), "fills", made)
+    small = _unfilled(chosen, state, n).filter("free and far and words <= gap").select("place", F.lit(0).alias("kind"), "v", "key", "words", "gap")
+    wants = save(small.groupBy("place", "kind").agg(F.first("gap").alias("want")), "wants", made)
+    found = cuts(small.drop("gap"), wants, made)
+    again = join_small(join_small(chosen, state.drop("target"), "place", "left", n, MAX_BROADCAST_ROWS), wants.join(found, ["place", "kind"], "left").select("place", "want", "cut"), "place", "left", n, MAX_BROADCAST_ROWS)
+    hit = _among("fills")
+    picked = hit | F.coalesce(F.col("free") & F.col("far") & (F.col("words") <= F.col("gap")) & F.col("want").isNotNull() & (F.col("cut").isNull() | (F.col("key") <= F.col("cut"))), F.lit(False))
+    chosen = save(again.select(*columns, (F.col("times") + picked.cast("long")).alias("times"), (F.col("free") & ~picked).alias("free")), "chosen")
+    state = save(filled(chosen, n, made).select("place", "fills"), "fills")
+    out = join_small(chosen, state, "place", "left", n, MAX_BROADCAST_ROWS).withColumn("times", F.col("times") + _among("fills").cast("long"))
     remove(docs.sparkSession, made)
     return out.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
-def _filled(chosen: DataFrame, state: DataFrame, n: int) -> DataFrame:
-    """``state`` after one more document that fits into each gap, the largest.
+def _among(keys: str) -> Column:
+    return F.exists(keys, lambda x: x.eqNullSafe(F.col("key")))
+
+
+def _unfilled(chosen: DataFrame, state: DataFrame, n: int) -> DataFrame:
+    return join_small(chosen.drop("target"), state, "place", "inner", n, MAX_BROADCAST_ROWS).filter(~_among("fills"))
 
-    ``fits`` are those so far and ``gap`` what they leave; ``fills`` is the
-    best set found, leaving ``miss``: the fits of some round, or those and one
-    document that goes over.
+
+def filled(chosen: DataFrame, n: int, made: list[str]) -> DataFrame:
+    """(place, target, gap, fits, miss, fills): up to FILLS documents that fit into each source's gap, one by one the largest.
+
+    ``fits`` leave ``gap``; ``fills`` is the best set found, off by ``miss``:
+    the fits of some round, or those and one document that goes over.
     """
-    free = join_small(chosen.filter("free and words > 0"), state, "place", "inner", n, MAX_BROADCAST_ROWS).filter("words < 2 * gap").filter(~F.exists("fits", lambda x: x.eqNullSafe(F.col("key"))))
-    near = F.struct(F.abs(F.col("gap") - F.col("words")).alias("miss"), F.col("key"))
-    found = free.groupBy("place").agg(F.min(F.when(F.expr("words <= gap"), near)).alias("fit"), F.min(F.when(F.expr("words > gap"), near)).alias("over"))
-    now = join_small(state, found, "place", "left", n, MAX_BROADCAST_ROWS)
-    fits = F.when(F.col("fit").isNull(), F.col("fits")).otherwise(F.array_append("fits", F.col("fit.key")))
-    options = [F.struct("miss", "fills"), F.when(F.col("over").isNotNull(), F.struct(F.col("over.miss").alias("miss"), F.array_append("fits", F.col("over.key")).alias("fills"))), F.when(F.col("fit").isNotNull(), F.struct(F.col("fit.miss").alias("miss"), F.array_append("fits", F.col("fit.key")).alias("fills")))]
-    best = F.least(*options)
-    return now.select("place", F.coalesce("fit.miss", "gap").alias("gap"), fits.alias("fits"), best["miss"].alias("miss"), best["fills"].alias("fills"))
+    gap = F.first("target") - F.sum(F.col("words") * F.col("times"))
+    none = F.array().cast(ArrayType(chosen.schema["key"].dataType))
+    state = save(chosen.groupBy("place").agg(F.first("target").alias("target"), gap.alias("gap")).select("*", none.alias("fits"), F.abs("gap").alias("miss"), none.alias("fills")), "gaps", made)
+    for _ in range(FILLS):
+        free = join_small(chosen.filter("free").drop("target"), state, "place", "inner", n, MAX_BROADCAST_ROWS).filter("words < 2 * gap").filter(~_among("fits"))
+        near = F.struct(F.abs(F.col("gap") - F.col("words")).alias("miss"), F.col("key"))
+        found = free.groupBy("place").agg(F.min(F.when(F.expr("words <= gap"), near)).alias("fit"), F.min(F.when(F.expr("words > gap"), near)).alias("over"))
+        now = join_small(state, found, "place", "left", n, MAX_BROADCAST_ROWS)
+        longer = F.array_append("fits", F.col("fit.key"))
+        options = [F.struct("miss", "fills"), F.when(F.col("over").isNotNull(), F.struct(F.col("over.miss").alias("miss"), F.array_append("fits", F.col("over.key")).alias("fills"))), F.when(F.col("fit").isNotNull(), F.struct(F.col("fit.miss").alias("miss"), longer.alias("fills")))]
+        best = F.least(*options)
+        state = save(now.select("place", "target", F.coalesce("fit.miss", "gap").alias("gap"), F.when(F.col("fit").isNull(), F.col("fits")).otherwise(longer).alias("fits"), best["miss"].alias("miss"), best["fills"].alias("fills")), "fills", made)
+    return state

@@ -96,15 +96,21 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 
 
-def _fill_sql(i: int) -> str:
-    """One round of filling: the documents nearest below and above each gap, and the best set so far."""
-    key = "{'v': v, 'd': doc_id, 's': size}"
-    near = f"{{'miss': abs(gap - words), 'key': {key}}}"
+_KEY = "{'v': v, 'd': doc_id, 's': size}"
+
+
+def _fill_sql(rows: str, f: str) -> str:
+    """Rounds of filling: the documents of ``rows`` nearest below and above each gap, and the best set so far, as tables f0, f1 ..."""
+    near = f"{{'miss': abs(gap - words), 'key': {_KEY}}}"
     options = "[{'miss': miss, 'fills': fills}, CASE WHEN over IS NOT NULL THEN {'miss': over.miss, 'fills': list_append(fits, over.key)} END, CASE WHEN fit IS NOT NULL THEN {'miss': fit.miss, 'fills': list_append(fits, fit.key)} END]"
-    return f"""
-n{i} AS (SELECT place, min({near}) FILTER (WHERE words <= gap) AS fit, min({near}) FILTER (WHERE words > gap) AS over FROM h JOIN f{i - 1} USING (place) WHERE free AND words > 0 AND words < 2 * gap AND NOT list_contains(fits, {key}) GROUP BY 1),
-m{i} AS (SELECT place, coalesce(fit.miss, gap) AS gap, CASE WHEN fit IS NULL THEN fits ELSE list_append(fits, fit.key) END AS fits, list_min(list_filter({options}, lambda x: x IS NOT NULL)) AS best FROM f{i - 1} LEFT JOIN n{i} USING (place)),
-f{i} AS (SELECT place, gap, fits, best['miss'] AS miss, best['fills'] AS fills FROM m{i}),"""
+    out = f"""
+{f}0 AS (SELECT place, any_value(target) AS goal, any_value(target) - sum(words * times)::BIGINT AS gap, [{{'v': 0::DOUBLE, 'd': 0::BIGINT, 's': 0::BIGINT}}][:0] AS fits, abs(gap) AS miss, fits AS fills FROM {rows} GROUP BY 1),"""
+    for i in range(1, mixing.FILLS + 1):
+        out += f"""
+n{f}{i} AS (SELECT place, min({near}) FILTER (WHERE words <= gap) AS fit, min({near}) FILTER (WHERE words > gap) AS over FROM {rows} JOIN {f}{i - 1} USING (place) WHERE free AND words < 2 * gap AND NOT list_contains(fits, {_KEY}) GROUP BY 1),
+m{f}{i} AS (SELECT place, goal, coalesce(fit.miss, gap) AS gap, CASE WHEN fit IS NULL THEN fits ELSE list_append(fits, fit.key) END AS fits, list_min(list_filter({options}, lambda x: x IS NOT NULL)) AS best FROM {f}{i - 1} LEFT JOIN n{f}{i} USING (place)),
+{f}{i} AS (SELECT place, goal, gap, fits, best['miss'] AS miss, best['fills'] AS fills FROM m{f}{i}),"""
+    return out
 
 
 _FINITE = "CASE WHEN coalesce(len(embedding), 0) = 0 THEN false ELSE list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) END"
@@ -159,10 +165,13 @@ e AS (SELECT u.*, place, w, target, CASE WHEN w > 0 THEN least(2.0::DOUBLE, targ
 o AS (SELECT *, floor(expected)::BIGINT AS base, expected - floor(expected) AS chance, CASE WHEN expected > floor(expected) THEN (u / (1 - u)) / ((expected - floor(expected)) / (1 - (expected - floor(expected)))) END AS odds FROM e),
 q AS (SELECT *, CASE WHEN odds IS NOT NULL THEN least(odds / (1 + odds), 1 - pow(2, -53)) END AS v FROM o),
 g AS (SELECT *, v IS NOT NULL AND words > 0 AND sum(words) OVER (PARTITION BY place, kind, v IS NULL ORDER BY v, doc_id NULLS FIRST, size) <= sum(chance * words) OVER (PARTITION BY place, kind) + {mixing.ROUNDING} AS picked FROM q),
-h AS (SELECT *, base + picked::BIGINT AS times, v IS NOT NULL AND NOT picked AS free FROM g),
-f0 AS (SELECT place, any_value(target) - sum(words * times)::BIGINT AS gap, [{{'v': 0::DOUBLE, 'd': 0::BIGINT, 's': 0::BIGINT}}][:0] AS fits, gap AS miss, fits AS fills FROM h GROUP BY 1),{"".join(map(_fill_sql, range(1, mixing.FILLS + 1)))}
-z AS (SELECT h.*, fills FROM h JOIN f{mixing.FILLS} USING (place))
-SELECT doc_id, source, size, w AS source_size, target, size * (times + list_contains(fills, {{'v': v, 'd': doc_id, 's': size}})::BIGINT) AS taken FROM (SELECT *, unnest(range(copies)) FROM z) y""",
+h AS (SELECT *, base + picked::BIGINT AS times, v IS NOT NULL AND words > 0 AND NOT picked AS free FROM g),{_fill_sql("h", "f")}
+r AS (SELECT place, gap, miss > {mixing.CLOSE} * goal AS far, CASE WHEN miss > {mixing.CLOSE} * goal THEN fits ELSE fills END AS fills FROM f{mixing.FILLS}),
+i AS (SELECT h.* EXCLUDE (times, free), far, gap, times + list_contains(fills, {_KEY})::BIGINT AS times, free AND NOT list_contains(fills, {_KEY}) AS free FROM h JOIN r USING (place)),
+j AS (SELECT *, free AND far AND words <= gap AND sum(words) OVER (PARTITION BY place, free AND far AND words <= gap ORDER BY v, doc_id NULLS FIRST, size) <= gap AS more FROM i),
+k AS (SELECT * EXCLUDE (times, free, gap, far), times + more::BIGINT AS times, free AND NOT more AS free FROM j),{_fill_sql("k", "z")}
+y AS (SELECT k.*, fills FROM k JOIN z{mixing.FILLS} USING (place))
+SELECT doc_id, source, size, w AS source_size, target, size * (times + list_contains(fills, {_KEY})::BIGINT) AS taken FROM (SELECT *, unnest(range(copies)) FROM y) x""",
     "op12_vector_codes": f"""
 WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings WHERE {_FINITE}),
 x AS (SELECT vec_id, (i // (len(q) // {vector_codes.PARTS}))::INT AS p, i AS k, q[i + 1] AS v FROM (SELECT vec_id, q, unnest(range(len(q))) AS i FROM k) y),
