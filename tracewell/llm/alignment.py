@@ -17,16 +17,17 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.packing import encoder, splits_at_spaces, token_bytes
+from tracewell.llm.packing import encoder, load, splits_at_spaces, token_bytes
 from tracewell.llm.store import remove, save
 from tracewell.llm.words import lists, span_hashes
 
 #: Text that is aligned at once, one text at least, and ends that a piece merges.
-BATCH_CHARS, PIECE = 1 << 22, 1 << 16
+BATCH_CHARS, PIECE = 1 << 20, 1 << 16
 SPACE = "▁"
 #: Units in a string; the piece model takes more than proportional time for long ones.
 STRING = 256
@@ -84,6 +85,7 @@ class Sides:
         self.lengths = [np.array([len(x) for x in t], np.int64) for t in self.tables]
         self.space = self.model.piece_to_id(SPACE)
         self.apart = splits_at_spaces(a_path) and not any(SPACE in x.lstrip(SPACE) for x in pieces)
+        load.cache_clear()
 
     def ids(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Of a text that begins with a space, which the piece model adds by itself."""
@@ -212,6 +214,16 @@ def written(ids: tuple[np.ndarray, np.ndarray], cuts: tuple[np.ndarray, np.ndarr
         yield text[size[x] : size[y]]
 
 
+def squeeze(links: np.ndarray) -> bytes:
+    """Numbers below 2**32, compressed byte by byte: the upper bytes are mostly 0."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(links.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def expand(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def align_batch(texts: list[str | None], a_path: str, b_path: str, carry: bool) -> dict:
     """The fields of BATCHES of some texts, but their ids."""
     both = sides(a_path, b_path)
@@ -219,9 +231,12 @@ def align_batch(texts: list[str | None], a_path: str, b_path: str, carry: bool)
     edges = [np.cumsum(x) for x in counts]
     link_a, link_b, *cuts = merged(*(np.cumsum(x[i]) for x, i in zip(both.lengths, ids, strict=True)))
     keys, links, numbers = np.unique(ids[0][link_a] * len(both.tables[1]) + ids[1][link_b], return_inverse=True, return_counts=True)
+    order = np.argsort(-numbers, kind="stable")  # frequent pairs get low numbers
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
     groups = np.diff(np.searchsorted(cuts[0], edges[0], "right"), prepend=0)
     strings = list(written(ids, cuts, edges, max(map(len, both.tables))))
-    return {"n_a": counts[0], "n_b": counts[1], "n_groups": groups, "digests": [hashlib.sha256(x).hexdigest() if x else "" for x in strings], "groups": [x.decode() for x in strings] if carry else [None] * len(texts), "links": links.astype("<u4").tobytes(), "keys": keys, "numbers": numbers}
+    return {"n_a": counts[0], "n_b": counts[1], "n_groups": groups, "digests": [hashlib.sha256(x).hexdigest() if x else "" for x in strings], "groups": [x.decode() for x in strings] if carry else [None] * len(texts), "links": squeeze(place[links]), "keys": keys[order], "numbers": numbers[order]}
 
 
 def align_batches(a_path: str, b_path: str, carry: bool, most: int):
@@ -262,7 +277,7 @@ def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size:
                 at = found.field("at").to_numpy(zero_copy_only=False)
                 total[at], best[at] = found.field("total").to_numpy(zero_copy_only=False), found.field("best").to_numpy(zero_copy_only=False)
-            links = np.frombuffer(row["links"].as_py(), "<u4")
+            links = expand(row["links"].as_py())
             n_links = n_a + n_b - groups
             edges = np.cumsum(n_links)
             sums = [np.diff(np.concatenate([[0], np.cumsum(x[links])])[edges], prepend=0) for x in (best, total)]

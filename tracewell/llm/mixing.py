@@ -7,8 +7,9 @@ inclusion probability. Documents are ranked by random odds over inclusion
 odds, and the first ones whose words make up the fractions' sum are taken.
 
 Samples are drawn by source and length class (number of binary digits of the
-size), so a few very long documents can't use up a source's words. Where an
-order is cut is found by two histograms of 256 bins, and rows are ranked in
+size), after those of the few documents that are long against the source's
+words, and what these take too much or too little is made up by all classes.
+Where an order is cut is found by two histograms of 256 bins, and rows are ranked in
 the last bin alone; no source or class has to fit into a task.
 """
 
@@ -25,9 +26,9 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
 BINS = 256
 #: Documents of a source that are added one by one to fill what the samples of its classes leave.
-FILLS = 3
-#: Share of a target within which its source needs no more.
-CLOSE = 0.0005
+FILLS = 4
+#: Documents of over this part of the words that a source's fractions make up are taken by themselves, before the others.
+GIANT = 16
 #: Sources (or sources and classes) up to this number are broadcast, some 50 bytes each.
 MAX_BROADCAST_ROWS = 100_000
 SOURCES_PER_PART = 100_000
@@ -99,6 +100,22 @@ def cuts(rows: DataFrame, wants: DataFrame, made: list[str]) -> DataFrame:
     return save(at.join(last, stratum, "left").select(*stratum, F.coalesce("last", edge).alias("cut")), "cuts", made)
 
 
+def giants(rows: DataFrame, budgets: DataFrame, n: int) -> DataFrame:
+    """``budgets`` with ``last``, the last key taken among a place's documents of over a GIANTth of its budget, and ``factor`` by which other documents' fractions then count.
+
+    Giants are few, whatever the place's size; they are taken in order while
+    that comes nearer to the sum of their fractions.
+    """
+    known = join_small(rows, budgets, "place", "inner", n, MAX_BROADCAST_ROWS).withColumn("giant", F.expr(f"words > budget / {GIANT}"))
+    upto = F.sum("words").over(Window.partitionBy("place").orderBy("key"))
+    own = F.sum("part").over(Window.partitionBy("place")) + ROUNDING
+    large = known.filter("giant").withColumn("taken", upto - F.col("words") / 2 <= own)
+    large = large.groupBy("place").agg(F.max(F.when(F.col("taken"), F.col("key"))).alias("last"), F.coalesce(F.sum(F.when(F.col("taken"), F.col("words"))), F.lit(0)).alias("held"))
+    others = known.filter("not giant").groupBy("place").agg(F.sum("part").alias("others"))
+    now = join_small(join_small(budgets, large, "place", "left", n, MAX_BROADCAST_ROWS), others, "place", "left", n, MAX_BROADCAST_ROWS)
+    return now.select("place", "budget", "last", F.expr("greatest(0D, budget - coalesce(held, 0)) / others").alias("factor"))
+
+
 def mix(docs: DataFrame, priority: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix") -> DataFrame:
     """(doc_id, source, size, source_size, target, taken), one row per row of ``docs`` (doc_id, source, text).
 
@@ -107,8 +124,7 @@ def mix(docs: DataFrame, priority: Column | None = None, weights: tuple[int, ...
     document's inclusion odds within its source. Random numbers are hashes of
     ``seed``, id and size, so reruns agree; rows that are equal in source, id,
     size and priority are one unit, taken together. Ties go by id, then size.
-    What the samples leave of a target is filled by single documents and by
-    ones that fit, by rank whatever their class. ``share`` over ``most``
+    What the samples leave of a target is filled by a few single documents. ``share`` over ``most``
     brings every source to ``most`` times its size. An empty table gives an
     empty result; other columns of ``docs`` are ignored.
     """
@@ -140,26 +156,18 @@ def mix(docs: DataFrame, priority: Column | None = None, weights: tuple[int, ...
     odds = F.when(F.col("chance") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("chance") / (1 - F.col("chance"))))
     units = units.withColumn("odds", odds).withColumn("v", F.expr("if(odds is null, null, least(odds / (1 + odds), 1 - pow(2, -53)))")).withColumn("key", F.struct("v", "doc_id", "size"))
 
-    open_ = units.filter("v is not null and words > 0")
-    wants = save(open_.groupBy("place", "kind").agg((F.sum(F.col("chance") * F.col("words")) + ROUNDING).alias("want")), "wants", made)
-    found = cuts(open_.select("place", "kind", "v", "key", "words"), wants, made)
-    strata = wants.count()
-    chosen = join_small(units, found, ["place", "kind"], "left", strata, MAX_BROADCAST_ROWS)
-    picked = F.coalesce((F.col("v").isNotNull()) & (F.col("words") > 0) & (F.col("cut").isNull() | (F.col("key") <= F.col("cut"))), F.lit(False))
-    columns = ["place", "doc_id", "source", "size", "copies", "words", "source_size", "target", "v", "key"]
-    chosen = save(chosen.select(*columns, (F.col("base") + picked.cast("long")).alias("times"), (F.col("v").isNotNull() & (F.col("words") > 0) & ~picked).alias("free")), "chosen", made)
-
-    # what is left of each target: a few documents that fit, then ones by rank from all classes, then a few again
-    state = filled(chosen, n, made)
-    far = F.col("miss") > CLOSE * F.col("target")
-    state = save(state.select("place", "gap", "target", far.alias("far"), F.when(far, F.col("fits")).otherwise(F.col("fills")).alias("fills")), "fills", made)
-    small = _unfilled(chosen, state, n).filter("free and far and words <= gap").select("place", F.lit(0).alias("kind"), "v", "key", "words", "gap")
-    wants = save(small.groupBy("place", "kind").agg(F.first("gap").alias("want")), "wants", made)
-    found = cuts(small.drop("gap"), wants, made)
-    again = join_small(join_small(chosen, state.drop("target"), "place", "left", n, MAX_BROADCAST_ROWS), wants.join(found, ["place", "kind"], "left").select("place", "want", "cut"), "place", "left", n, MAX_BROADCAST_ROWS)
-    hit = _among("fills")
-    picked = hit | F.coalesce(F.col("free") & F.col("far") & (F.col("words") <= F.col("gap")) & F.col("want").isNotNull() & (F.col("cut").isNull() | (F.col("key") <= F.col("cut"))), F.lit(False))
-    chosen = save(again.select(*columns, (F.col("times") + picked.cast("long")).alias("times"), (F.col("free") & ~picked).alias("free")), "chosen")
+    open_ = units.filter("v is not null and words > 0").withColumn("part", F.col("chance") * F.col("words"))
+    budgets = save(open_.groupBy("place").agg((F.sum("part") + ROUNDING).alias("budget")), "budgets", made)
+    budgets = save(giants(open_, budgets, n), "budgets", made)
+    known = join_small(units, budgets, "place", "left", n, MAX_BROADCAST_ROWS).withColumn("giant", F.expr(f"words > budget / {GIANT}"))
+    rest = known.filter("v is not null and words > 0 and not giant")
+    wants = save(rest.groupBy("place", "kind", "factor").agg(F.sum(F.col("chance") * F.col("words")).alias("want")).select("place", "kind", (F.col("want") * F.col("factor") + ROUNDING).alias("want")), "wants", made)
+    found = cuts(rest.select("place", "kind", "v", "key", "words"), wants, made)
+    chosen = join_small(known, found, ["place", "kind"], "left", wants.count(), MAX_BROADCAST_ROWS)
+    first = F.when(F.col("giant"), F.col("key") <= F.col("last")).otherwise(F.col("cut").isNull() | (F.col("key") <= F.col("cut")))
+    open_ = F.col("v").isNotNull() & (F.col("words") > 0)
+    chosen = chosen.withColumn("picked", open_ & F.coalesce(first, F.lit(False)))
+    chosen = save(chosen.select("place", "doc_id", "source", "size", "copies", "words", "source_size", "target", "key", (F.col("base") + F.col("picked").cast("long")).alias("times"), (open_ & ~F.col("picked")).alias("free")), "chosen")
     state = save(filled(chosen, n, made).select("place", "fills"), "fills")
     out = join_small(chosen, state, "place", "left", n, MAX_BROADCAST_ROWS).withColumn("times", F.col("times") + _among("fills").cast("long"))
     remove(docs.sparkSession, made)
@@ -170,26 +178,22 @@ def _among(keys: str) -> Column:
     return F.exists(keys, lambda x: x.eqNullSafe(F.col("key")))
 
 
-def _unfilled(chosen: DataFrame, state: DataFrame, n: int) -> DataFrame:
-    return join_small(chosen.drop("target"), state, "place", "inner", n, MAX_BROADCAST_ROWS).filter(~_among("fills"))
-
-
 def filled(chosen: DataFrame, n: int, made: list[str]) -> DataFrame:
-    """(place, target, gap, fits, miss, fills): up to FILLS documents that fit into each source's gap, one by one the largest.
+    """(place, gap, fits, miss, fills): up to FILLS documents that fit into each source's gap, one by one the largest.
 
     ``fits`` leave ``gap``; ``fills`` is the best set found, off by ``miss``:
     the fits of some round, or those and one document that goes over.
     """
     gap = F.first("target") - F.sum(F.col("words") * F.col("times"))
     none = F.array().cast(ArrayType(chosen.schema["key"].dataType))
-    state = save(chosen.groupBy("place").agg(F.first("target").alias("target"), gap.alias("gap")).select("*", none.alias("fits"), F.abs("gap").alias("miss"), none.alias("fills")), "gaps", made)
+    state = save(chosen.groupBy("place").agg(gap.alias("gap")).select("*", none.alias("fits"), F.abs("gap").alias("miss"), none.alias("fills")), "gaps", made)
     for _ in range(FILLS):
-        free = join_small(chosen.filter("free").drop("target"), state, "place", "inner", n, MAX_BROADCAST_ROWS).filter("words < 2 * gap").filter(~_among("fits"))
+        free = join_small(chosen.filter("free"), state, "place", "inner", n, MAX_BROADCAST_ROWS).filter("words < 2 * gap").filter(~_among("fits"))
         near = F.struct(F.abs(F.col("gap") - F.col("words")).alias("miss"), F.col("key"))
         found = free.groupBy("place").agg(F.min(F.when(F.expr("words <= gap"), near)).alias("fit"), F.min(F.when(F.expr("words > gap"), near)).alias("over"))
         now = join_small(state, found, "place", "left", n, MAX_BROADCAST_ROWS)
         longer = F.array_append("fits", F.col("fit.key"))
         options = [F.struct("miss", "fills"), F.when(F.col("over").isNotNull(), F.struct(F.col("over.miss").alias("miss"), F.array_append("fits", F.col("over.key")).alias("fills"))), F.when(F.col("fit").isNotNull(), F.struct(F.col("fit.miss").alias("miss"), longer.alias("fills")))]
         best = F.least(*options)
-        state = save(now.select("place", "target", F.coalesce("fit.miss", "gap").alias("gap"), F.when(F.col("fit").isNull(), F.col("fits")).otherwise(longer).alias("fits"), best["miss"].alias("miss"), best["fills"].alias("fills")), "fills", made)
+        state = save(now.select("place", F.coalesce("fit.miss", "gap").alias("gap"), F.when(F.col("fit").isNull(), F.col("fits")).otherwise(longer).alias("fits"), best["miss"].alias("miss"), best["fills"].alias("fills")), "fills", made)
     return state

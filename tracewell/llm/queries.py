@@ -164,13 +164,14 @@ t AS (SELECT s.*, coalesce(least(2 * w::DOUBLE, (SELECT level FROM v) * weight),
 e AS (SELECT u.*, place, w, target, CASE WHEN w > 0 THEN least(2.0::DOUBLE, target / w) ELSE 0 END AS expected, length(bin(size)) AS kind, (('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || size), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / pow(2, 48) AS u FROM u JOIN t ON u.source IS NOT DISTINCT FROM t.source),
 o AS (SELECT *, floor(expected)::BIGINT AS base, expected - floor(expected) AS chance, CASE WHEN expected > floor(expected) THEN (u / (1 - u)) / ((expected - floor(expected)) / (1 - (expected - floor(expected)))) END AS odds FROM e),
 q AS (SELECT *, CASE WHEN odds IS NOT NULL THEN least(odds / (1 + odds), 1 - pow(2, -53)) END AS v FROM o),
-g AS (SELECT *, v IS NOT NULL AND words > 0 AND sum(words) OVER (PARTITION BY place, kind, v IS NULL ORDER BY v, doc_id NULLS FIRST, size) <= sum(chance * words) OVER (PARTITION BY place, kind) + {mixing.ROUNDING} AS picked FROM q),
-h AS (SELECT *, base + picked::BIGINT AS times, v IS NOT NULL AND words > 0 AND NOT picked AS free FROM g),{_fill_sql("h", "f")}
-r AS (SELECT place, gap, miss > {mixing.CLOSE} * goal AS far, CASE WHEN miss > {mixing.CLOSE} * goal THEN fits ELSE fills END AS fills FROM f{mixing.FILLS}),
-i AS (SELECT h.* EXCLUDE (times, free), far, gap, times + list_contains(fills, {_KEY})::BIGINT AS times, free AND NOT list_contains(fills, {_KEY}) AS free FROM h JOIN r USING (place)),
-j AS (SELECT *, free AND far AND words <= gap AND sum(words) OVER (PARTITION BY place, free AND far AND words <= gap ORDER BY v, doc_id NULLS FIRST, size) <= gap AS more FROM i),
-k AS (SELECT * EXCLUDE (times, free, gap, far), times + more::BIGINT AS times, free AND NOT more AS free FROM j),{_fill_sql("k", "z")}
-y AS (SELECT k.*, fills FROM k JOIN z{mixing.FILLS} USING (place))
+b AS (SELECT *, v IS NOT NULL AND words > 0 AS open, chance * words AS part FROM q),
+c AS (SELECT *, sum(part) FILTER (WHERE open) OVER (PARTITION BY place) + {mixing.ROUNDING} AS budget FROM b),
+i AS (SELECT *, open AND words > budget / {mixing.GIANT} AS giant FROM c),
+j AS (SELECT *, giant AND sum(words) OVER (PARTITION BY place, giant ORDER BY v, doc_id NULLS FIRST, size) - words / 2 <= sum(part) OVER (PARTITION BY place, giant) + {mixing.ROUNDING} AS held FROM i),
+m AS (SELECT *, greatest(0, budget - coalesce(sum(words) FILTER (WHERE held) OVER (PARTITION BY place), 0)::BIGINT) / sum(part) FILTER (WHERE open AND NOT giant) OVER (PARTITION BY place) AS factor, open AND NOT giant AS ranked FROM j),
+g AS (SELECT *, held OR ranked AND sum(words) OVER (PARTITION BY place, kind, ranked ORDER BY v, doc_id NULLS FIRST, size) <= sum(part) OVER (PARTITION BY place, kind, ranked) * factor + {mixing.ROUNDING} AS picked FROM m),
+h AS (SELECT *, base + picked::BIGINT AS times, open AND NOT picked AS free FROM g),{_fill_sql("h", "f")}
+y AS (SELECT h.*, fills FROM h JOIN f{mixing.FILLS} USING (place))
 SELECT doc_id, source, size, w AS source_size, target, size * (times + list_contains(fills, {_KEY})::BIGINT) AS taken FROM (SELECT *, unnest(range(copies)) FROM y) x""",
     "op12_vector_codes": f"""
 WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings WHERE {_FINITE}),
