@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.packing import encoder, load, splits_at_spaces, token_bytes
 from tracewell.llm.store import remove, save
-from tracewell.llm.words import lists, span_hashes
+from tracewell.llm.words import lists, span_hashes, spread
 
 #: Text that is aligned at once, one text at least, and ends that a piece merges.
 BATCH_CHARS, PIECE = 1 << 20, 1 << 16
@@ -62,12 +62,6 @@ def unit_starts(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, alone
 
 
-def spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """first[0], first[0] + 1 ... (sizes[0] of them), first[1] ..."""
-    upto = np.cumsum(sizes)
-    return np.repeat(first - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)
-
-
 class Sides:
     """The byte-level tokenizer file ``a_path``, its special tokens' strings taken as plain text, and the piece model ``b_path``.
 
