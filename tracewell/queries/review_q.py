@@ -16,8 +16,9 @@ _HINT = "CASE WHEN partkey % 7 = 0 THEN '' WHEN partkey % 2 = 0 THEN 'loadOrders
 @query("signature", "v_step", f"""
 WITH l AS (SELECT flow, ordinal, kind, {_LINE} AS raw, {_HINT} AS hint FROM v_step),
 t AS (SELECT *, trim(regexp_replace(raw, ' +', ' ', 'g')) AS t, kind IN ('guard', 'call', 'boundary') AS head, CASE kind WHEN 'guard' THEN 0 WHEN 'call' THEN 2 ELSE 4 END AS deep FROM l),
-r AS (SELECT flow, ordinal, CASE WHEN hint = '' OR contains(raw, hint) THEN ordinal ELSE coalesce((SELECT max(b.ordinal) FROM t b WHERE b.flow = a.flow AND b.ordinal < a.ordinal AND b.head AND contains(b.raw, a.hint)),
-  (SELECT min(b.ordinal) FROM t b WHERE b.flow = a.flow AND b.head AND contains(b.raw, a.hint)), (SELECT arg_max(b.ordinal, b.ordinal - 1000 * b.deep) FROM t b WHERE b.flow = a.flow AND b.ordinal < a.ordinal AND b.head), ordinal) END AS line FROM t a),
+h AS (SELECT DISTINCT hint FROM t WHERE hint <> ''),
+x AS (SELECT flow, ordinal, h.hint, t.hint AS own, max(CASE WHEN head AND contains(raw, h.hint) THEN ordinal END) OVER (PARTITION BY flow, h.hint ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above, min(CASE WHEN head AND contains(raw, h.hint) THEN ordinal END) OVER (PARTITION BY flow, h.hint) AS any_, arg_max(ordinal, CASE WHEN head THEN ordinal - 1000 * deep END) OVER (PARTITION BY flow, h.hint ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS least FROM t, h),
+r AS (SELECT t.flow, t.ordinal, CASE WHEN t.hint = '' OR contains(raw, t.hint) THEN t.ordinal ELSE coalesce(above, any_, least, t.ordinal) END AS line FROM t LEFT JOIN x ON x.flow = t.flow AND x.ordinal = t.ordinal AND x.hint = t.hint),
 b AS (SELECT r.flow, r.ordinal, r.line, t, row_number() OVER (PARTITION BY r.flow, r.ordinal ORDER BY t.ordinal) AS k FROM r JOIN t ON t.flow = r.flow AND t.ordinal >= r.line AND t <> ''),
 c AS (SELECT *, coalesce(sum((suffix(t, '{{') OR suffix(t, ';') OR (suffix(t, ')') AND k > 1))::INT) OVER (PARTITION BY flow, ordinal ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stops FROM b),
 s AS (SELECT flow, ordinal, string_agg(t, ' ' ORDER BY k) AS s FROM c WHERE k <= 5 AND stops = 0 GROUP BY 1, 2)

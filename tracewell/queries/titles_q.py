@@ -21,6 +21,15 @@ def segment_title(v):
     return v["v_step"].select("flow", "ordinal", T.segment_title(F.col("symbol"), target).alias("title"))
 
 
+@query("marker_web_file", "v_step pages", """
+SELECT flow, ordinal, CASE WHEN split_part(symbol, '.', 2) LIKE 'get%' THEN NULL WHEN page_id % 3 = 0 OR split_part(symbol, '.', 2) = 'loadOrders' THEN 'lifecycle_callback' END AS marker FROM v_step JOIN pages ON page_id = partkey % 50""")
+def marker_web_file(v):
+    """A file's directive makes its functions entries, but those named like accessors."""
+    text = F.concat(F.expr("if(page_id % 3 = 0, '\"use server\"\\n', '')"), F.regexp_replace("html", "use server", ""))
+    rows = v["v_step"].join(v["pages"].select("page_id", text.alias("file")), F.expr("page_id = partkey % 50"))
+    return rows.select("flow", "ordinal", T.marker_web(F.lit(None), F.col("symbol"), F.lit(None), F.col("file"))["marker"].alias("marker"))
+
+
 @query("marker_web", "v_step", """
 SELECT DISTINCT symbol, CASE split_part(symbol, '.', 2) WHEN 'loadOrders' THEN 'lifecycle_callback' END AS marker FROM v_step""")
 def marker_web(v):
