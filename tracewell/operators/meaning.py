@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -203,25 +200,6 @@ def batch_roots(changes: DataFrame, steps: DataFrame, batch: DataFrame) -> DataF
     return changes.filter("verified").join(steps, "step").join(batch.select("path").distinct(), "path", "left_semi").select("step").distinct()
 
 
-def brace_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end): the balanced braces after byte ``start``, over the text's bytes; null if they don't close."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ends = []
-            for text, start in zip(batch["content"], batch["start"], strict=True):
-                depth, end = 0, None
-                for at, b in enumerate((text or "").encode()[start:], start):
-                    depth += (b == 123) - (b == 125)
-                    if b == 125 and depth <= 0:
-                        end = at + 1 if depth == 0 else None
-                        break
-                ends.append(end)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "start": batch["start"], "end": pd.array(ends, dtype="Int64")})
-
-    return docs.select("doc_id", "content", "start").mapInPandas(run, "doc_id long, start long, end long")
-
-
 def find_declaration(rows: DataFrame) -> DataFrame:
     """``rows`` (symbol, content) with line: the first line that declares the symbol's last name, to its end; null if none does."""
     name = F.regexp_extract("symbol", r"([A-Za-z0-9_$]+)\s*$", 1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracewell.operators import anchors as A
 from tracewell.operators import graph as H
 from tracewell.operators import meaning as N
 from tracewell.queries.registry import query
@@ -143,7 +144,7 @@ def batch_roots(v):
 
 @query("brace_span", "events", "SELECT event_id AS doc_id, 0 AS start, strlen(props) AS \"end\" FROM events")
 def brace_span(v):
-    return N.brace_spans(v["events"].select(F.col("event_id").alias("doc_id"), F.col("props").alias("content"), F.lit(0).cast("long").alias("start")))
+    return A.brace_spans(v["events"].select(F.col("event_id").alias("doc_id"), F.col("props").alias("content"), F.lit(0).cast("long").alias("start")))
 
 
 @query("decl_find", "v_step", "SELECT flow, ordinal, CASE WHEN partkey % 2 = 0 THEN 'func ' || split_part(symbol, '.', 2) || '(a int) {' END AS line FROM v_step")
