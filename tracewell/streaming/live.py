@@ -67,3 +67,73 @@ def replay_stream(events: DataFrame) -> DataFrame:
     by = events.groupBy("subject").agg(dead.alias("dead"), last("approve").alias("a"), last("draft").alias("d"))
     alive = lambda c: F.when(F.col(f"{c}.seq") > F.coalesce("dead", F.lit(-1)), F.col(f"{c}.name"))
     return by.select("subject", alive("a").alias("approved"), alive("d").alias("draft"))
+
+
+def txn_stream(edits: DataFrame, expiry: float, late: str = "0 seconds") -> DataFrame:
+    """(txn, outcome, edits) of transactions over (txn, seq, kind, size, ts): committed, aborted or expired.
+
+    A commit names its number of staged edits (size) and holds once they are
+    all there, in whatever order they come; an abort before that drops all. A
+    transaction that is open ``expiry`` seconds of event time after its first
+    row expires. State is the staged numbers of open transactions, and, until
+    that time, that an ended one is closed, so what comes late opens nothing.
+    """
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        staged, size, until, closed = state.get if state.exists else ([], None, None, False)
+        staged, out = set(staged), []
+        if state.hasTimedOut:
+            if not closed:
+                out.append((key[0], "expired", len(staged)))
+            state.remove()
+        else:
+            for part in parts:
+                for r in part.sort_values("seq").itertuples():
+                    end = int((r.ts.timestamp() + expiry) * 1000)
+                    until = end if until is None else min(until, end)
+                    if closed:
+                        continue
+                    if r.kind == "abort":
+                        out.append((key[0], "aborted", len(staged)))
+                        closed = True
+                    elif r.kind == "commit":
+                        size = int(r.size)
+                    else:
+                        staged.add(int(r.seq))
+                    if not closed and size is not None and len(staged) >= size:
+                        out.append((key[0], "committed", len(staged)))
+                        closed = True
+            state.update(([] if closed else sorted(staged), size, until, closed))
+            state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["txn", "outcome", "edits"])
+
+    marked = edits.withWatermark("ts", late)
+    return marked.groupBy("txn").applyInPandasWithState(run, "txn string, outcome string, edits long", "staged array<long>, size long, until long, closed boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def epoch_stream(rows: DataFrame) -> DataFrame:
+    """The stream twin of ``twins.settled`` over a key's log in order: (key, seq, epoch, accepted)."""
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        who, epoch = state.get if state.exists else (None, 0)
+        out = []
+        for part in parts:
+            for r in part.sort_values("seq").itertuples():
+                if pd.isna(r.result_epoch):
+                    epoch += who is not None and r.identity != who
+                    who = r.identity
+                    out.append((key[0], r.seq, epoch, True))
+                else:
+                    out.append((key[0], r.seq, epoch, int(r.result_epoch) == epoch))
+        state.update((who, epoch))
+        yield pd.DataFrame(out, columns=["key", "seq", "epoch", "accepted"])
+
+    return rows.groupBy("key").applyInPandasWithState(run, "key long, seq long, epoch long, accepted boolean", "who string, epoch long", "append", GroupStateTimeout.NoTimeout)
+
+
+def timeline_stream(observed: DataFrame, nodes: DataFrame, around: str, late: str = "0 seconds") -> DataFrame:
+    """The stream twin of ``twins.timeline``: observations (trace, seq, symbol, kind, ts) with the code nodes (symbol, seen) known ``around`` them; runtime only once the watermark rules out a node."""
+    left = observed.withWatermark("ts", late).alias("o")
+    right = nodes.select(F.col("symbol").alias("node"), "seen").withWatermark("seen", late).alias("n")
+    near = F.expr(f"o.symbol = n.node and n.seen >= o.ts - interval {around} and n.seen <= o.ts + interval {around}")
+    return left.join(right, near, "left_outer").select("trace", "seq", "kind", F.when(F.col("node").isNotNull(), "corroborated").otherwise("runtime").alias("source"), "ts")

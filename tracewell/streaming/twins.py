@@ -106,3 +106,20 @@ def failure_timeline(observed: DataFrame, nodes: DataFrame) -> DataFrame:
     out = observed.join(known, "symbol", "left")
     place = F.row_number().over(Window.partitionBy("trace").orderBy("ts", "seq"))
     return out.select("trace", place.cast("long").alias("place"), "kind", F.when(F.col("_known"), "corroborated").otherwise("runtime").alias("source"))
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """(key, seq, epoch, accepted) of a log (key, seq, identity, result_epoch): identity rows begin a new epoch where it changes; a result (its epoch isn't null) is taken only in its own epoch."""
+    w = Window.partitionBy("key").orderBy("seq")
+    who = F.when(F.col("result_epoch").isNull(), F.col("identity"))
+    before = F.last(who, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    changed = F.coalesce(before.isNotNull() & who.isNotNull() & (who != before), F.lit(False))
+    rows = rows.withColumn("_c", changed.cast("long")).withColumn("epoch", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.select("key", "seq", "epoch", F.coalesce(F.col("result_epoch") == F.col("epoch"), F.lit(True)).alias("accepted"))
+
+
+def timeline(observed: DataFrame, nodes: DataFrame, around: str) -> DataFrame:
+    """``observed`` (trace, seq, symbol, kind, ts) with source: corroborated by each code node (symbol, seen) known ``around`` it, runtime without."""
+    near = F.expr(f"o.symbol = n.node and n.seen >= o.ts - interval {around} and n.seen <= o.ts + interval {around}")
+    out = observed.alias("o").join(nodes.select(F.col("symbol").alias("node"), "seen").alias("n"), near, "left")
+    return out.select("trace", "seq", "kind", F.when(F.col("node").isNotNull(), "corroborated").otherwise("runtime").alias("source"), "ts")
