@@ -150,10 +150,24 @@ def quality(steps: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def alignments(criteria: DataFrame, steps: DataFrame, least: int = 2) -> DataFrame:
-    """(criterion_id, steps): how many steps share ``least`` significant tokens with a criterion; 0 is not_observed."""
-    a = criteria.select("criterion_id", F.explode("tokens").alias("t"))
-    b = steps.select("step", F.explode("tokens").alias("t"))
-    pairs = a.join(b, "t").groupBy("criterion_id", "step").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    """(criterion_id, steps): how many steps share ``least`` significant tokens with a criterion; 0 is not_observed.
+
+    Tokens are in order of their number of steps, rarest first. Two rows with
+    ``least`` tokens in common share one among all but the last least - 1 of
+    each, so only those are keys of the join; the rarest token that a pair
+    shares keeps it, once.
+    """
+    rows = steps.select("step", F.array_distinct("tokens").alias("tokens"))
+    rank = rows.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+
+    def ordered(df: DataFrame, key: str) -> DataFrame:
+        place = df.select(key, F.explode(F.array_distinct("tokens")).alias("t")).join(rank, "t")
+        return place.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias(f"{key}_tokens")).filter(F.size(f"{key}_tokens") >= least)
+
+    keys = lambda df, key: df.withColumn("t", F.explode(F.slice(f"{key}_tokens", F.lit(1), F.size(f"{key}_tokens") - (least - 1))))
+    pairs = keys(ordered(criteria, "criterion_id"), "criterion_id").join(keys(ordered(rows, "step"), "step"), "t")
+    shared = F.array_intersect("criterion_id_tokens", "step_tokens")
+    pairs = pairs.withColumn("_shared", shared).filter((F.size("_shared") >= least) & (F.element_at("_shared", 1) == F.col("t")))
     hits = pairs.groupBy("criterion_id").agg(F.count("*").alias("steps"))
     return criteria.select("criterion_id").join(hits, "criterion_id", "left").select("criterion_id", F.coalesce("steps", F.lit(0)).alias("steps"))
 

@@ -91,9 +91,9 @@ def request_languages(docs: DataFrame) -> DataFrame:
 ENTRY_KINDS = ["route", "entrypoint"]
 
 
-def entry_symbols(symbols: DataFrame, kind: str = "kind", kinds: list[str] = ENTRY_KINDS, place: str = "line") -> DataFrame:
-    """The symbols of a kind that starts flows, in order of their place."""
-    return symbols.filter(F.col(kind).isin(*kinds)).orderBy(place)
+def entry_symbols(symbols: DataFrame, kind: str = "kind", kinds: list[str] = ENTRY_KINDS) -> DataFrame:
+    """The symbols of a kind that starts flows; their place tells their order."""
+    return symbols.filter(F.col(kind).isin(*kinds))
 
 
 def lane_labels(steps: DataFrame) -> DataFrame:

@@ -72,6 +72,15 @@ VIEWS: dict[str, str] = {
         SELECT concat('s', cast(s_suppkey AS string)), concat('n', cast(s_nationkey AS string)), 'call', 'verified' FROM supplier
         UNION ALL
         SELECT concat('n', cast(n_nationkey AS string)), concat('r', cast(n_regionkey AS string)), 'call', 'verified' FROM nation""",
+    "v_call_all": """
+        SELECT DISTINCT concat('c', cast(o_custkey AS string)) AS caller, concat('p', cast(l_partkey AS string)) AS callee, CASE WHEN l_partkey % 4 = 0 THEN 'implementation' ELSE 'call' END AS kind, CASE WHEN l_partkey % 9 = 0 THEN 'dynamic' ELSE 'verified' END AS status
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+        UNION ALL
+        SELECT DISTINCT concat('p', cast(l_partkey AS string)), concat('s', cast(l_suppkey AS string)), 'call', CASE WHEN l_suppkey % 5 = 0 THEN 'dynamic' ELSE 'verified' END FROM lineitem
+        UNION ALL
+        SELECT concat('s', cast(s_suppkey AS string)), concat('n', cast(s_nationkey AS string)), 'call', 'verified' FROM supplier
+        UNION ALL
+        SELECT concat('n', cast(n_nationkey AS string)), concat('r', cast(n_regionkey AS string)), 'call', 'verified' FROM nation""",
     "v_gen_a": """
         SELECT concat('f/', cast(o_custkey % 20 AS string), '/', cast(o_orderkey AS string)) AS path, concat(o_orderpriority, cast(o_totalprice AS string)) AS content_id, o_orderkey AS k, o_orderstatus AS status
         FROM orders""",

@@ -107,7 +107,7 @@ def lane_upsert(v):
 @query("entry_symbols", "v_candidate", "SELECT candidate_id, marker_kind, p_partkey AS line FROM v_candidate WHERE marker_kind IN ('usecase_call', 'route_callback') ORDER BY line")
 def entry_symbols(v):
     symbols = v["v_candidate"].select("candidate_id", "marker_kind", F.col("p_partkey").alias("line"))
-    return N.entry_symbols(symbols, "marker_kind", ["usecase_call", "route_callback"], "line")
+    return N.entry_symbols(symbols, "marker_kind", ["usecase_call", "route_callback"])
 
 
 @query("contract_split", "events", """

@@ -84,6 +84,19 @@ def publish_select(v):
     return D.publish_select(rows, 50).select("candidate_id")
 
 
+@query("literal_hits", "v_candidate part customer", """
+WITH q AS (SELECT c_custkey AS query_id, CASE WHEN c_custkey % 29 = 0 THEN [] WHEN c_custkey % 13 = 0 THEN ['zq'] WHEN c_custkey % 7 = 0 THEN [lower(substr(p_name, 2, 2))] ELSE [lower(substr(p_name, 1, 4)), lower(right(p_brand, 2))] END AS terms FROM customer JOIN part ON p_partkey = c_custkey % (SELECT count(*) FROM part) + 1),
+u AS (SELECT query_id, list_filter(terms, lambda t: trim(t) <> '') AS terms FROM (SELECT query_id, flatten(list_transform(terms, lambda t: string_split(t, ' '))) AS terms FROM q) x),
+h AS (SELECT query_id, candidate_id FROM u JOIN v_candidate ON len(terms) > 0 AND len(list_filter(terms, lambda t: contains(lower(derived_name), t) OR contains(lower(root_equivalence_key), t))) = len(terms))
+SELECT query_id, candidate_id, 'matched' AS status FROM h UNION ALL SELECT query_id, NULL, CASE WHEN len(terms) > 0 THEN 'no_literal_match' ELSE 'empty_query' END FROM u WHERE query_id NOT IN (SELECT query_id FROM h)""")
+def literal_hits(v):
+    """A query for each customer: parts of a name and of a brand, two letters, nothing that is there, or no term."""
+    n = v["part"].count()
+    rows = v["customer"].join(v["part"], F.col("p_partkey") == F.col("c_custkey") % n + 1)
+    text = F.expr("case when c_custkey % 29 = 0 then ' ' when c_custkey % 13 = 0 then 'zq' when c_custkey % 7 = 0 then substr(p_name, 2, 2) else concat(left(p_name, 4), ' ', upper(right(p_brand, 2))) end")
+    return C.literal_hits(v["v_candidate"], rows.select(F.col("c_custkey").alias("query_id"), text.alias("query")), ["derived_name", "root_equivalence_key"])
+
+
 @query("literal_search", "v_candidate", """
 WITH q(query_id, terms) AS (VALUES (1, ['red']), (2, ['ring', 'small']), (3, ['nothing', 'red'])),
 h AS (SELECT query_id, candidate_id, len([t for t in terms if contains(lower(derived_name), t) OR contains(lower(root_equivalence_key), t)]) = len(terms) AS hit FROM v_candidate, q),

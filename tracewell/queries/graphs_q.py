@@ -89,6 +89,17 @@ def reachable(v):
     return H.reachable(roots, v["v_call"].filter("status = 'verified'").select(F.col("caller").alias("source"), F.col("callee").alias("target")))
 
 
+@query("reachable_all", "v_call_all", """
+WITH RECURSIVE w AS (SELECT DISTINCT caller AS root, caller AS node, 0 AS depth FROM v_call_all WHERE caller LIKE 'c%'
+  UNION SELECT root, callee, depth + 1 FROM w JOIN v_call_all ON caller = node WHERE status = 'verified')
+SELECT root, node, min(depth) AS depth FROM w GROUP BY 1, 2""")
+def reachable_all(v):
+    """From every customer, over all parts."""
+    edges = v["v_call_all"]
+    roots = edges.filter("caller like 'c%'").select(F.col("caller").alias("root"), F.col("caller").alias("node")).distinct()
+    return H.reachable(roots, edges.filter("status = 'verified'").select(F.col("caller").alias("source"), F.col("callee").alias("target")))
+
+
 def _impact(v):
     edges = v["v_call"].groupBy("caller", "callee").agg(F.max("status").alias("status")).withColumn("idx", F.hash("caller"))
     roots = v["nation"].select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("root")).withColumn("node", F.col("root"))
@@ -117,6 +128,16 @@ def call_expand(v):
     return H.expand_calls(entries, v["v_call"], 3).select("entry", F.array_join("path", ">").alias("path"), "depth", "cycle", "truncated")
 
 
+@query("call_expand_all", "v_call_all", """
+WITH p AS (SELECT DISTINCT caller, callee FROM v_call_all),
+l1 AS (SELECT c.caller AS entry, c.callee AS a FROM p c WHERE c.caller LIKE 'c%'), l2 AS (SELECT entry, a, callee AS b FROM l1 JOIN p ON caller = a)
+SELECT DISTINCT entry, entry AS path, 0 AS depth, false AS cycle, false AS truncated FROM l1 UNION ALL SELECT entry, concat_ws('>', entry, a), 1, false, false FROM l1 UNION ALL SELECT entry, concat_ws('>', entry, a, b), 2, false, true FROM l2""")
+def call_expand_all(v):
+    """Every customer's call tree to the second call; no node calls back here."""
+    entries = v["v_call_all"].filter("caller like 'c%'").select(F.col("caller").alias("node")).distinct()
+    return H.expand_calls(entries, v["v_call_all"], 2).select("entry", F.array_join("path", ">").alias("path"), "depth", "cycle", "truncated")
+
+
 @query("source_boundary", "v_step v_edge", """
 WITH RECURSIVE e AS (SELECT DISTINCT flow, step_ordinal, target_ordinal FROM v_edge WHERE target_ordinal IS NOT NULL), s AS (SELECT flow, ordinal, file_hash IS NOT NULL AS readable FROM v_step),
 w AS (SELECT flow, ordinal FROM s WHERE NOT readable UNION SELECT e.flow, e.step_ordinal FROM w JOIN s ON s.flow = w.flow AND s.ordinal = w.ordinal AND NOT s.readable JOIN e ON e.flow = w.flow AND e.target_ordinal = w.ordinal)

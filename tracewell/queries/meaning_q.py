@@ -164,6 +164,17 @@ def scope_closure(v):
     return H.reachable(roots, back).select("node").distinct()
 
 
+@query("scope_closure_all", "v_call_all", """
+WITH RECURSIVE b AS (SELECT DISTINCT caller AS scope, caller AS node FROM v_call_all WHERE caller LIKE 'n%' UNION SELECT scope, caller FROM b JOIN v_call_all ON callee = node WHERE caller LIKE 's%' OR caller LIKE 'p%')
+SELECT scope, node FROM b""")
+def scope_closure_all(v):
+    """What leads to each nation, but for the callers at the entry."""
+    edges = v["v_call_all"]
+    back = edges.filter("caller like 's%' or caller like 'p%'").select(F.col("callee").alias("source"), F.col("caller").alias("target"))
+    roots = edges.filter("caller like 'n%'").select(F.col("caller").alias("root"), F.col("caller").alias("node")).distinct()
+    return H.reachable(roots, back).select(F.col("root").alias("scope"), "node")
+
+
 @query("focus_resolve", "v_call", """
 WITH n AS (SELECT caller, count(DISTINCT callee) AS n, min(callee) AS only_one FROM v_call WHERE status = 'verified' AND caller LIKE 's%' GROUP BY 1)
 SELECT c.caller AS symbol, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS outcome, CASE WHEN n = 1 THEN only_one END AS focus FROM (SELECT DISTINCT caller FROM v_call) c LEFT JOIN n USING (caller)""")
