@@ -115,6 +115,27 @@ def significance_top(frames: DataFrame, n: int = 7) -> DataFrame:
     return rows.withColumn("into", F.last(F.when(F.col("kept"), F.col("ordinal")), ignorenulls=True).over(so_far())).drop("_n", "_edge", "_rank")
 
 
+def significance_frames(frames: DataFrame, n: int = 7, bonus: int = 1000) -> DataFrame:
+    """(flow, place, ordinal, status, absorbed): the ``n`` frames of a flow that stay, in order, with what they took in.
+
+    frames have score, recursion, step_ref, status, role and steps (how many).
+    First and last stay, then the best others, by score, recursions raised by
+    ``bonus``, then step_ref. A frame that goes is taken in by the one kept
+    before it: its steps count as absorbed, and it makes a verified one partial
+    if it is unknown, partial or a boundary. Frames without a status are
+    unknown if they are boundaries, else verified.
+    """
+    every = Window.partitionBy("flow").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = frames.withColumn("_n", F.count("*").over(every)).withColumn("_edge", (F.col("ordinal") == F.min("ordinal").over(every)) | (F.col("ordinal") == F.max("ordinal").over(every)))
+    value = F.col("score") + F.when(F.coalesce("recursion", F.lit(False)), bonus).otherwise(0)
+    rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("flow", "_edge").orderBy(value.desc(), "step_ref", "ordinal")))
+    rows = rows.withColumn("_kept", (F.col("_n") <= n) | F.col("_edge") | (F.col("_rank") <= n - 2)).withColumn("place", F.sum(F.col("_kept").cast("long")).over(so_far()))
+    given = F.when(F.coalesce("status", F.lit("")) != "", F.col("status")).when(F.col("role") == "boundary", "unknown").otherwise("verified")
+    weak = ~F.col("_kept") & (F.coalesce(F.col("status").isin("unknown", "partial"), F.lit(False)) | (F.col("role") == "boundary"))
+    by = rows.groupBy("flow", "place").agg(F.min("ordinal").alias("ordinal"), F.max(F.when(F.col("_kept"), given)).alias("_own"), F.bool_or(weak).alias("_weak"), F.coalesce(F.sum(F.when(~F.col("_kept"), F.col("steps"))), F.lit(0)).cast("long").alias("absorbed"))
+    return by.select("flow", "place", "ordinal", F.when((F.col("_own") == "verified") & F.col("_weak"), "partial").otherwise(F.col("_own")).alias("status"), "absorbed")
+
+
 def display_fold(steps: DataFrame, most: int) -> DataFrame:
     """(flow, first, last, hidden): runs of non-critical steps between critical ones, in flows with more than ``most`` steps."""
     every = Window.partitionBy("flow")

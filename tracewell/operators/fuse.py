@@ -149,6 +149,52 @@ def quality(steps: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("flow", rows.alias("r")).select("flow", "r.obligation", "r.met")
 
 
+def obligations(steps: DataFrame, unknowns: DataFrame) -> DataFrame:
+    """(flow, kind, target, status) of what a flow must prove: its entry and result, its causal chain (pending until it is proved), each decision by itself, and that nothing critical is unknown."""
+    ends = steps.groupBy("flow").agg(F.min("ordinal").alias("entry"), F.max("ordinal").alias("result"))
+    open_ = ends.join(unknowns.select("flow", F.lit(True).alias("_open")).distinct(), "flow", "left")
+    row = lambda kind, target, status: F.struct(F.lit(kind).alias("kind"), target.cast("long").alias("target"), status.alias("status"))
+    fixed = F.array(row("entry", F.col("entry"), F.lit("verified")), row("result", F.col("result"), F.lit("verified")), row("causal_chain", F.lit(None), F.lit("pending")), row("no_critical_unknown", F.lit(None), F.when(F.col("_open"), "unknown").otherwise("verified")))
+    one = open_.select("flow", F.explode(fixed).alias("o")).select("flow", "o.*")
+    decides = steps.filter(F.col("kind").isin("guard", "branch", "decision")).select("flow", F.lit("critical_branch").alias("kind"), F.col("ordinal").cast("long").alias("target"), F.lit("verified").alias("status"))
+    return one.unionByName(decides)
+
+
+def obligation_summary(owed: DataFrame) -> DataFrame:
+    """(flow, required, verified, unresolved): how many obligations there are, all but unknown ones counted as verified."""
+    by = owed.groupBy("flow").agg(F.count("*").alias("required"), F.count_if(F.col("status") == "unknown").alias("unresolved"))
+    return by.select("flow", "required", (F.col("required") - F.col("unresolved")).alias("verified"), "unresolved")
+
+
+def criterion_matches(criteria: DataFrame, steps: DataFrame) -> DataFrame:
+    """(criterion_id, step): steps that name a criterion among their rules, or whose text has two of its tokens in it (or its only one).
+
+    criteria have text, steps have text and rules. A token is looked up by the
+    rarest run of three characters in it; of a criterion's different tokens,
+    the one whose run most steps have is no key, as another one must match too.
+    Tokens that a criterion repeats count each time.
+    """
+    from tracewell.functions.text import significant_tokens
+
+    named = steps.select("step", F.explode("rules").alias("rule")).withColumn("_id", F.lower(F.trim("rule")))
+    ruled = criteria.select("criterion_id", F.lower(F.trim(F.col("criterion_id").cast("string"))).alias("_id")).join(named, "_id").select("criterion_id", "step")
+
+    runs = lambda text: F.when(F.length(text) > 2, F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    told = steps.select("step", F.lower("text").alias("said"))
+    index = told.select("step", F.explode(F.array_distinct(runs(F.col("said")))).alias("run"))
+    tokens = criteria.select("criterion_id", significant_tokens(F.col("text")).alias("tokens"))
+    each = tokens.select("criterion_id", F.explode("tokens").alias("token")).groupBy("criterion_id", "token").agg(F.count("*").alias("times"))
+    keyed = each.select("*", F.explode(F.array_distinct(runs(F.col("token")))).alias("run"))
+    df = index.join(keyed.select("run").distinct(), "run", "left_semi").groupBy("run").agg(F.count("*").alias("df"))
+    rarest = keyed.join(df, "run", "left").groupBy("criterion_id", "token", "times").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "run")).alias("k"))
+    often = F.row_number().over(Window.partitionBy("criterion_id").orderBy(F.desc("k.df"), "token"))
+    others = F.count("*").over(Window.partitionBy("criterion_id"))
+    keys = rarest.withColumn("_often", often).withColumn("_n", others).filter("_often > 1 or _n = 1 or times > 1").select("criterion_id", "token", F.col("k.run").alias("run"))
+    pairs = keys.join(index, "run").select("criterion_id", "step").distinct().join(tokens, "criterion_id").join(told, "step")
+    hits = F.size(F.filter("tokens", lambda t: F.contains(F.col("said"), t)))
+    return ruled.union(pairs.filter((hits >= 2) | ((hits == 1) & (F.size("tokens") == 1))).select("criterion_id", "step")).distinct()
+
+
 def alignments(criteria: DataFrame, steps: DataFrame, least: int = 2) -> DataFrame:
     """(criterion_id, steps): how many steps share ``least`` significant tokens with a criterion; 0 is not_observed.
 

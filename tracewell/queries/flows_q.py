@@ -364,6 +364,40 @@ def significance_top7(v):
     return G.significance_top(v["v_step"].select("flow", "ordinal", F.col("quantity").alias("score"))).select("flow", "ordinal", "kept", "into")
 
 
+@query("significance_frames", "v_step", """
+WITH e AS (SELECT flow, ordinal, quantity + CASE WHEN partkey % 7 = 0 THEN 1000 ELSE 0 END AS score, symbol AS ref, CASE partkey % 6 WHEN 0 THEN 'unknown' WHEN 1 THEN 'partial' WHEN 2 THEN 'verified' END AS given, kind = 'boundary' AS edge, suppkey % 3 + 1 AS steps, count(*) OVER (PARTITION BY flow) AS n FROM v_step),
+k AS (SELECT *, n <= 4 OR ordinal IN (1, n) OR row_number() OVER (PARTITION BY flow, ordinal IN (1, n) ORDER BY score DESC, ref, ordinal) <= 2 AS kept FROM e),
+p AS (SELECT *, sum(kept::INT) OVER (PARTITION BY flow ORDER BY ordinal)::BIGINT AS place FROM k)
+SELECT flow, place, min(ordinal) AS ordinal, CASE WHEN arg_min(coalesce(given, CASE WHEN edge THEN 'unknown' ELSE 'verified' END), ordinal) = 'verified' AND bool_or(NOT kept AND (given IN ('unknown', 'partial') OR edge)) THEN 'partial' ELSE arg_min(coalesce(given, CASE WHEN edge THEN 'unknown' ELSE 'verified' END), ordinal) END AS status, coalesce(sum(steps) FILTER (NOT kept), 0)::BIGINT AS absorbed FROM p GROUP BY 1, 2""")
+def significance_frames(v):
+    """The best four frames; every seventh part's are recursions."""
+    rows = v["v_step"].select("flow", "ordinal", F.col("quantity").alias("score"), F.expr("partkey % 7 = 0").alias("recursion"), F.col("symbol").alias("step_ref"), F.expr("case partkey % 6 when 0 then 'unknown' when 1 then 'partial' when 2 then 'verified' end").alias("status"), F.col("kind").alias("role"), F.expr("suppkey % 3 + 1").alias("steps"))
+    return G.significance_frames(rows, 4)
+
+
+@query("obligations", "v_step v_edge", """
+SELECT flow, 'entry' AS kind, min(ordinal) AS target, 'verified' AS status FROM v_step GROUP BY 1 UNION ALL SELECT flow, 'result', max(ordinal), 'verified' FROM v_step GROUP BY 1 UNION ALL SELECT DISTINCT flow, 'causal_chain', NULL::BIGINT, 'pending' FROM v_step
+UNION ALL SELECT DISTINCT flow, 'no_critical_unknown', NULL::BIGINT, CASE WHEN flow IN (SELECT flow FROM v_edge WHERE resolution_status <> 'resolved') THEN 'unknown' ELSE 'verified' END FROM v_step UNION ALL SELECT flow, 'critical_branch', ordinal, 'verified' FROM v_step WHERE kind IN ('guard', 'branch', 'decision')""")
+def obligations(v):
+    return E.obligations(v["v_step"], v["v_edge"].filter("resolution_status <> 'resolved'"))
+
+
+@query("obligation_summary", "v_step v_edge", """
+WITH u AS (SELECT DISTINCT flow FROM v_edge WHERE resolution_status <> 'resolved')
+SELECT flow, 4 + count(*) FILTER (kind IN ('guard', 'branch', 'decision')) AS required, 4 + count(*) FILTER (kind IN ('guard', 'branch', 'decision')) - max(CASE WHEN u.flow IS NULL THEN 0 ELSE 1 END) AS verified, max(CASE WHEN u.flow IS NULL THEN 0 ELSE 1 END)::BIGINT AS unresolved FROM v_step LEFT JOIN u USING (flow) GROUP BY 1""")
+def obligation_summary(v):
+    return E.obligation_summary(obligations(v))
+
+
+@query("criterion_matches", "v_criterion v_turn", f"""
+WITH a AS (SELECT criterion_id, {_TOKENS.format("text")} AS t FROM v_criterion), s AS (SELECT flow * 100 + ordinal AS step, lower(text) AS said, flow % 45 AS rule FROM v_turn)
+SELECT criterion_id, step FROM a JOIN s ON rule = criterion_id OR len(list_filter(t, lambda x: contains(said, x))) >= 2 OR (len(t) = 1 AND contains(said, t[1]))""")
+def criterion_matches(v):
+    """Every turn names one criterion as its rule, in another case and with spaces."""
+    steps = v["v_turn"].select(F.expr("flow * 100 + ordinal").alias("step"), "text", F.array(F.lit("x"), F.concat(F.lit(" "), F.expr("flow % 45").cast("string"))).alias("rules"))
+    return E.criterion_matches(v["v_criterion"], steps)
+
+
 @query("display_fold", "v_step", """
 WITH a AS (SELECT flow, ordinal, partkey % 5 = 0 AS c, count(*) OVER (PARTITION BY flow) AS n, sum((partkey % 5 = 0)::INT) OVER (PARTITION BY flow ORDER BY ordinal) AS run FROM v_step)
 SELECT flow, min(ordinal) AS first, max(ordinal) AS last, count(*) - 2 AS hidden FROM a WHERE NOT c AND n > 4 GROUP BY flow, run HAVING count(*) > 2""")
