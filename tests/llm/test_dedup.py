@@ -317,3 +317,44 @@ def test_long_gaps_of_repeated_lines():
     a = [rng.randint(0, 50) for _ in range(100_000)]
     gone = line_dedup.deleted(np.array(a), np.array(a[50_000:] + a[:40_000]), np.full(90_000, 3), 8)
     assert len(gone) > 89_900
+
+
+def test_a_diff_is_the_same_in_tiles_of_any_size(monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    cases = [[[rng.randint(0, k) for _ in range(rng.randint(0, 30))] for _ in range(2)] for k in (1, 3, 8) for _ in range(100)]
+    whole = [line_dedup.common(a, b) for a, b in cases]
+    for bits in (1, 4, 20, 100):
+        monkeypatch.setattr(line_dedup, "MAX_BITS", bits)
+        assert [line_dedup.common(a, b) for a, b in cases] == whole
+
+
+def test_a_diff_of_very_many_lines_is_whole():
+    import random
+
+    rng = random.Random(1)
+    a = [rng.randint(0, 1) for _ in range(90_000)]
+    b = [x for x in a if rng.random() < 2 / 3]
+    pairs = line_dedup.common(a, b)
+    assert len(a) * len(b) > 5e9 and [b[j] for _, j in pairs] == b == [a[i] for i, _ in pairs]
+
+
+def test_runs_are_joined_as_a_whole():
+    early, late = np.array([1, 2, 1, 2, 3, 2, 9, 3, 4]), np.array([1, 2, 3, 8, 3, 4])
+    assert line_dedup.joined(early, late, [(0, 0), (5, 1), (7, 4), (8, 5)]) == [(0, 0), (1, 1), (7, 4), (8, 5)]
+    assert line_dedup.joined(early, late, [(2, 0), (5, 1), (7, 2), (8, 5)]) == [(2, 0), (3, 1), (4, 2), (8, 5)]
+    assert line_dedup.joined(early, late, []) == []
+
+
+def alternating(n):
+    """Two texts whose common part is 2 * n lines or more, of two kinds, so that no line and no run of lines is unique."""
+    a, b = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    return "\n".join(["start", *[a, b] * n, "end"]), "\n".join(["other start", b, *[a, b] * n, "other end"])
+
+
+@pytest.mark.parametrize("n", [3, 33_000])
+def test_alternating_lines_go_at_any_length(spark, n):
+    texts = alternating(n)
+    got = {r.row.doc_id: (r.n_removed, r.kept) for r in line_dedup.remove_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: (0, texts[0]), 1: (2 * n + 1, "other start\nother end")}

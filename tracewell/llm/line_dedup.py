@@ -8,7 +8,8 @@ grow with the lines and not with the square of a group. Each pair is aligned
 by patience diff on line hashes, and aligned common blocks are deleted from the
 later document. A diff keeps to one order, so each stretch of lines that it
 leaves is aligned with the earlier document again, until an alignment proposes
-no block: moved and repeated blocks go that way. Only alignments delete; runs
+no block: moved and repeated blocks go that way. One rule holds for texts of
+any length. Only alignments delete; runs
 of frequent lines do nothing but find pairs.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,8 @@ RARE_DF = 8
 MIN_BLOCK_WORDS = 8
 #: Keys held by more rows than this are joined by a broadcast of at most MAX_HOT_KEYS rows, others by a shuffle.
 HOT_DF, MAX_HOT_KEYS = 1000, 500_000
-#: Up to so many bits (50 MB) are held for an ordinary diff, and so many pairs of lines compared (about a second).
-MAX_BITS, MAX_WORK = 400_000_000, 4_000_000_000
+#: An ordinary diff holds tiles of up to so many bits (50 MB); what it finds doesn't depend on that.
+MAX_BITS = 400_000_000
 #: Deleted lines are broadcast up to about so many bytes; more are joined by a shuffle.
 MAX_BROADCAST_BYTES = 32 << 20
 LINES = "k long, fp long, line array<long>, size array<int>"
@@ -96,17 +98,30 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def _tops(a: list[int], b: list[int]) -> Iterator[int]:
-    """After each line of ``a``: bit j is 0 where the common subsequence with b[: j + 1] is longer than with b[:j]."""
+def _tile(at: dict[int, int], width: int, a: list[int], row: int, left: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """The table of longest common subsequences of the lines ``a`` and of ``width`` lines that are in ``at`` (line to bits of places).
+
+    After each line of ``a``, bit j of its row is 0 where the subsequence is
+    longer than with one line less of the others; ``row`` is the row above. A
+    carry, at the ``left`` and returned for the right, is 1 where the line of
+    ``a`` makes it longer.
+    """
+    every, rows, right = (1 << width) - 1, [], bytearray()
+    for x, carry in zip(a, left.tolist(), strict=True):
+        up = row & at.get(x, 0)
+        if up or carry:
+            total = row + up + carry
+            row, carry = (total | (row - up)) & every, total >> width
+        rows.append(row)
+        right.append(carry)
+    return rows, np.frombuffer(right, np.uint8)
+
+
+def _places(b: list[int]) -> dict[int, int]:
     at: dict[int, int] = {}
     for j, x in enumerate(b):
         at[x] = at.get(x, 0) | 1 << j
-    every = (1 << len(b)) - 1
-    row = every
-    for x in a:
-        up = row & at.get(x, 0)
-        row = ((row + up) | (row - up)) & every
-        yield row
+    return at
 
 
 def by_runs(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -130,46 +145,45 @@ def by_runs(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return best
 
 
-def _lengths(a: list[int], b: list[int]) -> np.ndarray:
-    """Lengths of the longest common subsequences of ``a`` and b[:j], for each j."""
-    *_, row = (1 << len(b)) - 1, *_tops(a, b)
-    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), count=len(b), bitorder="little")
-    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
-
-
 def common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Pairs (i, j) of a longest common subsequence, an ordinary diff; gaps of more than MAX_BITS are halved.
+    """Pairs (i, j) of a longest common subsequence, an ordinary diff, at any length.
 
-    The work grows with the product of the lengths, so in gaps of more than
-    MAX_WORK runs of lines that are unique in both are the anchors.
+    The table is made in tiles of at most MAX_BITS; of the others only the
+    borders are held, and the tiles that the way back crosses are made again.
+    So the way back, and the pairs, don't depend on MAX_BITS. The work grows
+    with the product of the lengths.
     """
     in_a, in_b = set(a), set(b)
     rows, columns = [i for i, x in enumerate(a) if x in in_b], [j for j, x in enumerate(b) if x in in_a]
     a, b = [a[i] for i in rows], [b[j] for j in columns]
-    if len(a) * len(b) > MAX_WORK:
-        return [(rows[i], columns[j]) for i, j in by_runs(np.array(a), np.array(b))]
+    side = isqrt(MAX_BITS)
+    above: dict[tuple[int, int], int] = {}
+    left: dict[tuple[int, int], np.ndarray] = {}
+    tiles = [(i, j) for j in range(0, len(b), side) for i in range(0, len(a), side)]
+    for i, j in tiles:
+        if i == 0:
+            at, width = _places(b[j : j + side]), len(b[j : j + side])
+            above[i, j] = (1 << width) - 1
+        if j == 0:
+            left[i, j] = np.packbits(np.zeros(len(a[i : i + side]), np.uint8))
+        if (i, j) != tiles[-1]:
+            part = a[i : i + side]
+            made, right = _tile(at, width, part, above[i, j], np.unpackbits(left[i, j], count=len(part)))
+            above[i + side, j], left[i, j + side] = made[-1], np.packbits(right)
     out: list[tuple[int, int]] = []
-    todo = [(0, len(a), 0, len(b))]
-    while todo:
-        i, p, j, q = todo.pop()
-        if i == p or j == q:
-            continue
-        if p - i > 1 and (p - i) * (q - j) > MAX_BITS:
-            half = (i + p) // 2
-            at = j + int(np.argmax(_lengths(a[i:half], b[j:q]) + _lengths(a[half:p][::-1], b[j:q][::-1])[::-1]))
-            todo += [(i, half, j, at), (half, p, at, q)]
-            continue
-        tops = list(_tops(a[i:p], b[j:q]))
-        x, y = p, q
+    x, y = len(a), len(b)
+    while x and y:
+        i, j = (x - 1) // side * side, (y - 1) // side * side
+        made, _ = _tile(_places(b[j:y]), y - j, a[i:x], above[i, j] & (1 << y - j) - 1, np.unpackbits(left[i, j], count=x - i))
         while x > i and y > j:
             if a[x - 1] == b[y - 1]:
                 x, y = x - 1, y - 1
                 out.append((rows[x], columns[y]))
-            elif tops[x - 1 - i] >> (y - 1 - j) & 1:
+            elif made[x - 1 - i] >> (y - 1 - j) & 1:
                 y -= 1
             else:
                 x -= 1
-    return sorted(out)
+    return out[::-1]
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -218,6 +232,23 @@ def aligned(early: list[int], late: list[int], sizes: list[int], min_words: int)
     return [j for x in blocks(patience(early, late), sizes, min_words) for j in x]
 
 
+def joined(early: np.ndarray, late: np.ndarray, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Aligned pairs with each run of consecutive ones moved, as a whole, to follow the run before where the same lines follow there.
+
+    A diff may take equal lines from far away; none of its runs gets shorter.
+    """
+    if not pairs:
+        return []
+    at = np.array(pairs)
+    edges = [0, *(np.flatnonzero((np.diff(at, axis=0) != 1).any(1)) + 1).tolist(), len(at)]
+    for n, end in zip(edges[1:], edges[2:], strict=False):
+        i, j = (at[n - 1] + 1).tolist()
+        k = end - n
+        if early[i] == late[j] and np.array_equal(early[i : i + k], late[j : j + k]):
+            at[n:end] = np.arange(k)[:, None] + (i, j)
+    return [(i, j) for i, j in at.tolist()]
+
+
 def deleted(early: np.ndarray, late: np.ndarray, sizes: np.ndarray, min_words: int) -> np.ndarray:
     """Lines of the later document that go: those of an alignment's blocks, then those that alignments of each stretch between these delete."""
     order = np.argsort(early, kind="stable")
@@ -230,7 +261,7 @@ def deleted(early: np.ndarray, late: np.ndarray, sizes: np.ndarray, min_words: i
             continue
         _, one = np.unique(part, return_index=True)
         own = np.sort(order[W.spread(first[one], (end - first)[one])])  # the earlier document's lines that the stretch has too
-        pairs = [(int(own[x]), y) for x, y in patience(early[own].tolist(), part.tolist())]
+        pairs = joined(early, part, [(int(own[x]), y) for x, y in patience(early[own].tolist(), part.tolist())])
         found = [(j + x[0], j + x[-1] + 1) for x in blocks(pairs, sizes[j:q].tolist(), min_words)]
         for a, b in found:
             gone[a:b] = True
