@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import corpus_pipeline as C
 import pytest
-from test_dedup import LAST, components, lines_removed, shingles, windows_removed
+from test_dedup import LAST, alternating, components, lines_removed, shingles, windows_removed
 from tracewell.llm import line_crf
 from tracewell.llm.queries import tokenizer
 from tracewell.llm.store import save
@@ -83,3 +83,11 @@ def test_stages_on_nothing(spark, empty, labelled):
     for name, stage in C.STAGES:
         out = stage(spark, save(empty, name), labelled)
         assert out.collect() == [] and (name == "packing" or out.columns == empty.columns)
+
+
+@pytest.mark.parametrize("n", [3, 33_000])
+def test_line_dedup_has_one_rule_for_any_length(spark, labelled, n):
+    early, late = alternating(n)
+    docs = spark.createDataFrame([(1, early, len(early)), (2, late, len(late))], "doc_id long, text string, n_chars long")
+    got = sorted(tuple(r) for r in STAGES["line_dedup"](spark, docs, labelled).collect())
+    assert got == [(1, early, len(early)), (2, "other start\nother end", 21)]

@@ -9,8 +9,8 @@ by patience diff on line hashes, and aligned common blocks are deleted from the
 later document. A diff keeps to one order, so each stretch of lines that it
 leaves is aligned with the earlier document again, until an alignment proposes
 no block: moved and repeated blocks go that way. One rule holds for texts of
-any length. Only alignments delete; runs
-of frequent lines do nothing but find pairs.
+any length. Only alignments delete; runs of frequent lines do nothing but find
+pairs.
 """
 
 from __future__ import annotations
@@ -124,27 +124,6 @@ def _places(b: list[int]) -> dict[int, int]:
     return at
 
 
-def by_runs(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Aligned pairs by anchors: runs of 2, 4, 8 ... or 64 lines that are unique in both, whichever aligns the most lines; none without such runs."""
-    best: list[tuple[int, int]] = []
-    for k in (2, 4, 8, 16, 32, 64):
-        sides = []
-        for x in (a, b):
-            grams, first, number = np.unique(W.gram_hashes(x.astype(np.int64).view(np.uint64), k), return_index=True, return_counts=True)
-            sides.append((grams[number == 1], first[number == 1]))
-        _, i, j = np.intersect1d(sides[0][0], sides[1][0], assume_unique=True, return_indices=True)
-        at_a, at_b = sides[0][1][i], sides[1][1][j]
-        order = np.argsort(at_a)
-        out: list[tuple[int, int]] = []
-        last = (-1, -1)
-        for i, j in increasing(list(zip(at_a[order].tolist(), at_b[order].tolist(), strict=True))):
-            new = max(0, last[0] + 1 - i, last[1] + 1 - j)
-            out += [(i + t, j + t) for t in range(new, k)]
-            last = out[-1] if out else last
-        best = max(best, out, key=len)
-    return best
-
-
 def common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Pairs (i, j) of a longest common subsequence, an ordinary diff, at any length.
 
