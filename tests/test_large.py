@@ -32,6 +32,15 @@ def calls_of(spark, pairs):
     return spark.createDataFrame([(a, b, rng.randrange(9), rng.choice(["verified"] * 3 + ["dynamic"])) for a, b in sorted(pairs)], "caller string, callee string, idx int, status string")
 
 
+def test_call_tree_is_not_written_whole(spark, written):
+    calls = spark.createDataFrame([("a", f"b{i}") for i in range(30)] + [(f"b{i}", f"c{j}") for i in range(30) for j in range(30)] + [("c0", "a"), ("b0", "a")], "caller string, callee string")
+    out = H.expand_calls(calls.filter("caller = 'a'").select(F.col("caller").alias("node")).distinct(), calls, 2)
+    assert out.count() == 1 + 30 + 901 and max(written) <= calls.count()
+    got = {tuple(r.path): (r.cycle, r.truncated) for r in out.collect()}
+    assert got["a", "b0", "a"] == (True, False) and got["a", "b1", "c0"] == (False, True) and got["a", "b1", "c1"] == (False, False) and got["a",] == (False, False)
+    assert H.expand_calls(spark.createDataFrame([("c1",), ("a",)], "node string"), calls, 0).filter("truncated").count() == 1
+
+
 def counted_rows(df):
     """The most rows that a join of the plan made."""
     df.collect()
@@ -56,3 +65,15 @@ def test_names_are_counted_not_paired(spark):
     assert rows(out.distinct(), "status", "n")[0] == ("ambiguous", 300) and out.count() == 400
 
 
+def test_equal_queries_and_texts_are_verified_once(spark, monkeypatch):
+    sizes, kept = [], C.save
+    monkeypatch.setattr(C, "save", lambda df: sizes.append(df.count()) or kept(df))
+    c = spark.range(60).select(F.col("id").alias("candidate_id"), F.when(F.col("id") < 50, "red ring").otherwise("blue bolt").alias("name"))
+    q = spark.createDataFrame([(i, t) for i, t in enumerate(["RED  ring", "red ring", "ed", " ", "zq", "b", None, "ring red"] * 3)], "query_id int, query string")
+    got = rows(C.literal_hits(c, q, ["name"]), "query_id", "candidate_id", "status")
+    want = []
+    for i, t in enumerate(["RED  ring", "red ring", "ed", " ", "zq", "b", None, "ring red"] * 3):
+        terms = (t or "").lower().split()
+        hits = [k for k in range(60) if terms and all(x in ("red ring" if k < 50 else "blue bolt") for x in terms)]
+        want += [(i, k, "matched") for k in hits] or [(i, None, "no_literal_match" if terms else "empty_query")]
+    assert got == sorted(want, key=repr) and sizes == [4]
