@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import candidates as C
 from tracewell.operators import graph as H
+from tracewell.operators import meaning as N
 
 
 @pytest.fixture
@@ -41,6 +42,22 @@ def test_call_tree_is_not_written_whole(spark, written):
     assert H.expand_calls(spark.createDataFrame([("c1",), ("a",)], "node string"), calls, 0).filter("truncated").count() == 1
 
 
+def test_claims_follow_no_edge_in_vain(spark, written):
+    hub = {("b0", f"c{i}") for i in range(300)} | {("b1", f"c{i}") for i in range(300)} | {("a", "b0"), ("a", "b1")}
+    calls = spark.createDataFrame([(a, b, i, "verified") for i, (a, b) in enumerate(sorted(hub))], "caller string, callee string, idx int, status string")
+    steps = spark.createDataFrame([(f"c{i}", "db:x", None) for i in range(300)], "node string, effect string, state string")
+    out = N.impact_effects(spark.createDataFrame([("a", "a")], "root string, node string"), calls, steps, 2, 10)
+    assert out.count() == 7 and sum(written) < 60
+
+
+@pytest.mark.parametrize("budget", [1, 2, 5, 40])
+def test_claims_are_those_of_the_whole_walk(spark, budget):
+    rng = random.Random(budget)
+    calls = calls_of(spark, {(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(200)})
+    roots = spark.createDataFrame([(f"r{i}", f"n{i}") for i in range(40)] + [("r0", "n7"), ("r0", "n8")], "root string, node string")
+    assert rows(H.impact_claims(roots, calls, 3, budget), "root", "node", "depth", "parent") == rows(H.impact(roots, calls, 3, budget)[0], "root", "node", "depth", "parent")
+
+
 def counted_rows(df):
     """The most rows that a join of the plan made."""
     df.collect()
