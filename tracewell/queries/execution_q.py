@@ -59,7 +59,7 @@ r AS (SELECT flow, edge_idx AS at, CASE
   WHEN kind IN ('loop_exit', 'switch_exit') AND t <= s THEN 'exit_order' WHEN kind = 'loop_exit_back' AND t = s THEN 'exit_to_itself' WHEN kind IN ('loop_back', 'await_loop_back', 'loop_exit_back') AND t > s AND NOT (kind = 'loop_back' AND ak = 'continue' AND bk = 'mutation' AND above) THEN 'loop_back_order'
   WHEN kind = 'loop_reentry' AND NOT coalesce(ak = 'branch' AND t < s AND conditions = 1 AND outcome = 'truthy', false) THEN 'loop_reentry' WHEN kind IN ('await_resume', 'await_loop_back') AND ak <> 'await' THEN 'await_source' WHEN kind = 'parallel_wait' AND NOT (ak = 'call' AND bk = 'await' AND t > s) THEN 'parallel_wait'
   WHEN ak = 'await' AND kind NOT IN ('await_resume', 'await_loop_back', 'failure') THEN 'await_completion' WHEN kind = 'failure' AND ak NOT IN ('await', 'throw') THEN 'failure_source' WHEN kind = 'finally' AND ak NOT IN ('return', 'throw') THEN 'finally_source' WHEN ak IN ('return', 'throw') AND kind NOT IN ('finally', 'failure') THEN 'flow_after_completion' END AS rule FROM q)
-SELECT flow, rule, r."at" FROM r WHERE rule IS NOT NULL UNION ALL SELECT flow, 'call_unconfirmed', edge_idx FROM e WHERE kind = 'resolved_cross_file' AND (target_ordinal IS NULL OR resolution_status <> 'resolved')""")
+SELECT flow, rule, r."at" FROM r WHERE rule IS NOT NULL UNION ALL SELECT flow, 'call_unconfirmed', edge_idx FROM e WHERE kind = 'resolved_cross_file' AND (target_ordinal IS NULL OR resolution_status <> 'resolved')""", by="lineitem.l_orderkey")
 def execution_edges(v):
     steps, edges = _facts(v)
     return X.edge_rules(steps, edges).unionByName(X.collected_rules(edges))
