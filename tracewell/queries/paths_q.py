@@ -52,7 +52,7 @@ def reading_relations(v):
 WITH {_PATHS} SELECT flow, ordinal, CASE WHEN ordinal > 1 AND NOT (CASE role WHEN 'decision' THEN s.kind IN ('guard', 'branch', 'decision') WHEN 'state_change' THEN s.kind = 'mutation' WHEN 'effect' THEN s.kind = 'external_effect' OR coalesce(o.fx, false)
   WHEN 'handoff' THEN s.kind IN ('call', 'await') WHEN 'outcome' THEN s.kind IN ('return', 'mutation', 'external_effect') ELSE coalesce(op, false) OR partkey % 13 = 0 END) THEN 'role'
   WHEN partkey % 17 = 0 OR partkey % 19 = 0 THEN 'phrase' WHEN NOT ok THEN 'source' WHEN ordinal > 1 AND pn IS NULL THEN 'disconnected' WHEN nn IS NULL AND role NOT IN ('outcome', 'boundary') THEN 'open_end' END AS error, coalesce(pn, 0) AS n_previous, coalesce(nn, 0) AS n_next
-FROM c JOIN s USING (flow, ordinal, role, partkey) LEFT JOIN o USING (flow, ordinal) LEFT JOIN (SELECT flow, a AS ordinal, count(DISTINCT b) AS nn FROM w WHERE error IS NULL GROUP BY 1, 2) x USING (flow, ordinal) LEFT JOIN (SELECT flow, b AS ordinal, count(DISTINCT a) AS pn FROM w WHERE error IS NULL GROUP BY 1, 2) u USING (flow, ordinal)""")
+FROM c JOIN s USING (flow, ordinal, role, partkey) LEFT JOIN o USING (flow, ordinal) LEFT JOIN (SELECT flow, a AS ordinal, count(DISTINCT b) AS nn FROM w WHERE error IS NULL GROUP BY 1, 2) x USING (flow, ordinal) LEFT JOIN (SELECT flow, b AS ordinal, count(DISTINCT a) AS pn FROM w WHERE error IS NULL GROUP BY 1, 2) u USING (flow, ordinal)""", by="lineitem.l_orderkey")
 def reading_path(v):
     steps, edges, chosen, relations = _proposal(v)
     requests = steps.select("flow").distinct().withColumn("request", F.lit("please save it"))
