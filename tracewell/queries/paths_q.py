@@ -42,7 +42,7 @@ w AS (SELECT flow, relation, a, b, n, k1, k2, c1, c2, CASE WHEN NOT ends THEN 'o
 
 
 @query("reading_relations", "v_step v_edge", f"""
-WITH {_PATHS} SELECT flow, relation, error, CASE WHEN error IS NULL THEN CASE WHEN 'async' IN (k1, coalesce(k2, '')) THEN 'async_handoff' WHEN c1 OR coalesce(c2, false) OR 'loop_back' IN (k1, coalesce(k2, '')) THEN 'conditional' WHEN 'resolved_cross_file' IN (k1, coalesce(k2, '')) THEN 'direct_call' ELSE 'control_flow' END END AS kind FROM w""")
+WITH {_PATHS} SELECT flow, relation, error, CASE WHEN error IS NULL THEN CASE WHEN 'async' IN (k1, coalesce(k2, '')) THEN 'async_handoff' WHEN c1 OR coalesce(c2, false) OR 'loop_back' IN (k1, coalesce(k2, '')) THEN 'conditional' WHEN 'resolved_cross_file' IN (k1, coalesce(k2, '')) THEN 'direct_call' ELSE 'control_flow' END END AS kind FROM w""", by="lineitem.l_orderkey")
 def reading_relations(v):
     steps, edges, chosen, relations = _proposal(v)
     return P.reading_relations(relations, chosen, steps, edges).select("flow", "relation", "error", "kind")
