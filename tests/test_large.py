@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.operators import candidates as C
 from tracewell.operators import graph as H
 from tracewell.operators import meaning as N
+from tracewell.operators import store
 
 
 @pytest.fixture
@@ -42,6 +43,19 @@ def test_call_tree_is_not_written_whole(spark, written):
     assert H.expand_calls(spark.createDataFrame([("c1",), ("a",)], "node string"), calls, 0).filter("truncated").count() == 1
 
 
+@pytest.mark.parametrize("most", [1, 1000])
+def test_reach_in_passes(spark, written, monkeypatch, most):
+    rng = random.Random(3)
+    edges = spark.createDataFrame([(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(150)], "source string, target string")
+    roots = spark.createDataFrame([(f"r{i}", f"n{i}") for i in range(40)] + [("r0", "n5"), ("r1", "x")], "root string, node string")
+    want = rows(H.reachable(roots, edges), "root", "node", "depth")
+    monkeypatch.setattr(store, "MAX_ROWS", most)
+    monkeypatch.setattr(store, "PASSES", 2)
+    written.clear()
+    assert rows(H.reachable_in_passes(roots, edges), "root", "node", "depth") == want
+    assert max(written) < (0.7 if most == 1 else 1.1) * len(want)
+
+
 def test_claims_follow_no_edge_in_vain(spark, written):
     hub = {("b0", f"c{i}") for i in range(300)} | {("b1", f"c{i}") for i in range(300)} | {("a", "b0"), ("a", "b1")}
     calls = spark.createDataFrame([(a, b, i, "verified") for i, (a, b) in enumerate(sorted(hub))], "caller string, callee string, idx int, status string")
